@@ -199,15 +199,20 @@ def bill_rollup(
     quantity: str = "quantity",
     component_id: str = "component_id",
     prefix: str = "",
+    null_values: Sequence[str] = (),
     skew: bool | None = None,
 ) -> DataFrame:
-    """Component quantities, total quantity and every component measure in one aggregation."""
+    """Component quantities, total quantity and every component measure in one aggregation.
+
+    Components among ``null_values`` get no quantity column but keep their measures.
+    """
     measures = [c for c in component_table.columns if c != component_id]
     joined = attach(slots, component_table, component, component_id, skew=skew)
     quantities: list[Column] = [F.sum(by_name(quantity)).alias("total_components")]
     names = ["total_components"]
     if vocab is not None:
-        bucketed = vocab.bucket(by_name(component))
+        named = by_name(component)
+        bucketed = vocab.bucket(null_if_in(named, null_values) if null_values else named)
         joined = joined.withColumn("__bucket", bucketed)
         quantities += [
             F.sum(F.when(F.col("__bucket") == label, by_name(quantity))).alias(

@@ -6,7 +6,6 @@ from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from featloom.functions.columns import by_name
 from featloom.functions.scalars import date_parts, inverse_plus_one
@@ -113,9 +112,9 @@ def basic_bill(
     )
     names, _ = named_components(components, cutoffs.name, "RareComponentName", prefix="name_")
     table = merge_components([base_names.drop("base_RareNameType"), names])
-    slots = bill_slots(bill)
-    cleaned = slots.withColumn("component", null_if_in(F.col("component"), NO_COMPONENT))
-    rolled = bill_rollup(cleaned, table, KEY, vocab, prefix="component_").drop("total_components")
+    rolled = bill_rollup(
+        bill_slots(bill), table, KEY, vocab, prefix="component_", null_values=NO_COMPONENT
+    ).drop("total_components")
     summed = totals(
         bill.select(by_name(KEY), *[by_name(c) for c in COMPONENT_SLOTS["quantity"]]),
         summed={"components": COMPONENT_SLOTS["quantity"]},

@@ -69,15 +69,11 @@ class QuoteEncoder:
 
 def quote_features(
     quotes: DataFrame, tables: Mapping[str, DataFrame], cutoffs: Cutoffs = Cutoffs(),
-    recipes: tuple[AttributeRecipe, ...] = RECIPES, encoder: QuoteEncoder | None = None,
+    recipes: tuple[AttributeRecipe, ...] = RECIPES, outlier_quantity: float | None = 2500,
 ) -> DataFrame:
-    """The full feature table of a set of quotes, one row per quote."""
-    quotes = drop_value(quotes, "quantity", 2500) if encoder is None else quotes
-    joined = join_assemblies(
-        quotes, assembly_features(tables, cutoffs, recipes), outlier_quantity=None
-    )
-    encoder = encoder or QuoteEncoder.fit(quotes)
-    return encoder.transform(joined)
+    """The full feature table of training quotes, one row per quote."""
+    joined = join_assemblies(quotes, assembly_features(tables, cutoffs, recipes), outlier_quantity)
+    return QuoteEncoder.fit(joined).transform(joined)
 
 
 def feature_names(df: DataFrame, also: Sequence[str] = ()) -> list[str]:
