@@ -30,7 +30,7 @@ def estimated_bytes(df: DataFrame) -> int | None:
         stats = df._jdf.queryExecution().optimizedPlan().stats()
     except AttributeError:
         return None
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def _worth_salting(left: DataFrame) -> bool:
