@@ -75,34 +75,43 @@ def regression_ctes(
     moments += [
         f"covar_pop(x{i}, x{j}) * count(*) as s{i}_{j}" for i in range(k) for j in range(i, k)
     ]
-    steps = []
+    # Each list is one CTE, so that no expression is spelled out inside another.
+    steps: list[list[str]] = [[]]
     for i in range(k):
         for j in range(i, k):
             extra = ""
             if i == j and alpha:
                 extra = f" + {alpha}e0 * " + (f"s{i}_{i}" if normalize else "1")
-            steps.append(f"s{i}_{j}{extra} as a{i}_{j}")
+            steps[0].append(f"s{i}_{j}{extra} as a{i}_{j}")
     for j in range(k):
-        steps.append(
+        steps.append([
             f"a{j}_{j}" + "".join(f" - l{j}_{m} * l{j}_{m} * d{m}" for m in range(j)) + f" as d{j}"
-        )
-        for i in range(j + 1, k):
-            inner = f"a{j}_{i}" + "".join(f" - l{i}_{m} * l{j}_{m} * d{m}" for m in range(j))
-            steps.append(f"({inner}) / d{j} as l{i}_{j}")
+        ])
+        steps.append([
+            f"(a{j}_{i}" + "".join(f" - l{i}_{m} * l{j}_{m} * d{m}" for m in range(j))
+            + f") / d{j} as l{i}_{j}"
+            for i in range(j + 1, k)
+        ])
     for i in range(k):
-        steps.append(f"c{i}" + "".join(f" - l{i}_{m} * z{m}" for m in range(i)) + f" as z{i}")
+        steps.append([f"c{i}" + "".join(f" - l{i}_{m} * z{m}" for m in range(i)) + f" as z{i}"])
     for i in reversed(range(k)):
-        steps.append(
+        steps.append([
             f"z{i} / d{i}" + "".join(f" - l{m}_{i} * w{m}" for m in range(i + 1, k)) + f" as w{i}"
+        ])
+    solved, previous = [], f"{name}_m"
+    for number, columns_ in enumerate(filter(None, steps)):
+        solved.append(
+            f"{name}_s{number} as materialized (select *, {', '.join(columns_)} from {previous})"
         )
+        previous = f"{name}_s{number}"
     predicted = "my" + "".join(
         f" + w{i} * (cast({e} as double) - m{i})" for i, e in enumerate(inputs)
     )
     return f"""{name}_fit as (select * from (select cast({y or target} as double) as y, {columns}
         from {source} where not ({absent}) and not ({ignored})) where {complete}),
     {name}_m as (select {", ".join(moments)} from {name}_fit),
-    {name}_w as (select my, {", ".join(f"m{i}" for i in range(k))}, {", ".join(steps)}
-        from {name}_m),
+    {", ".join(solved)},
+    {name}_w as (select my, {", ".join(f"m{i}, w{i}" for i in range(k))} from {previous}),
     {name} as (select s.* replace (case when {absent} then {back.format(predicted)}
         else {target} end as {target}) from {source} s, {name}_w)"""
 
@@ -441,7 +450,7 @@ def spec_counts_grouped(spark, folder):
     return rollup.spec_counts(pairs, "user_id", ["a", "b"], 1, unique_key=False)
 
 
-ENDS = ["9999", *[f"EF-{i}" for i in range(9)], "NONE"]
+ENDS = ["9999", *[f"EF-{i}" for i in range(8)], "NONE"]
 
 
 def end_sql(values, prefix="", columns=("end_a", "end_x"), rare="RareEnd") -> str:
@@ -720,7 +729,7 @@ def quote_features(spark, folder):
         stand_in(spark, folder, "quotes"), tables, PLAN_CUTOFFS, outlier_quantity=50
     )
     inverse = {"inv_annual_usage", "inv_min_order_quantity", "inv_quantity"}
-    exact = {"cost", "total_components", "component_RareComponent"}
+    exact = {"cost", "wall", "total_components", "component_RareComponent"}
     digits = {**{c: 8 for c in inverse}, "volume": 5}
     return features.select(*[
         F.round(by_name(c), digits.get(c, 3)).alias(c)
@@ -731,7 +740,7 @@ def quote_features(spark, folder):
 
 BASIC_CUTOFFS = BasicCutoffs(component=3000, base_name=100, name=3000, supplier=5)
 BASIC_MATERIALS = [f"SP-{i}" for i in range(1, 6)]
-BASIC_ENDS = [f"EF-{i}" for i in range(9)]
+BASIC_ENDS = [f"EF-{i}" for i in range(8)]
 
 
 def prefixed_sql(column: str, values: list[str], rare: str, out: str) -> str:
@@ -744,10 +753,10 @@ BASIC_TUBE_SQL = f"""strict_tube as (select * replace (coalesce(end_x_2x, 'N') a
     {", ".join(f"{flag_sql(c)} as {c}" for c in ("end_a_1x", "end_a_2x", "end_x_1x", "end_x_2x"))},
     num_boss, num_bracket,
     {prefixed_sql("material_id", BASIC_MATERIALS, "RareMaterial", "material_id")},
-    {prefixed_sql("end_a", BASIC_ENDS[:8], "RareEnd", "end_a_bucket")},
-    {prefixed_sql("end_x", BASIC_ENDS[:8], "RareEnd", "end_x_bucket")},
+    {prefixed_sql("end_a", BASIC_ENDS, "RareEnd", "end_a_bucket")},
+    {prefixed_sql("end_x", BASIC_ENDS, "RareEnd", "end_x_bucket")},
     {flag_sql("fa.forming")} as forming_a, {flag_sql("fx.forming")} as forming_x,
-    {end_sql(BASIC_ENDS[:8], "end_")}
+    {end_sql(BASIC_ENDS, "end_")}
     from strict_tube left join tube_end_form fa on end_a = fa.end_form_id
     left join tube_end_form fx on end_x = fx.end_form_id)"""
 

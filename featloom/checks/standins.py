@@ -265,23 +265,33 @@ QUOTES: dict[str, str] = {
 ORDER_KEY = _id("TA", "l_orderkey")
 
 
-def stand_in(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def stand_in(
+    spark: SparkSession, folder: str, name: str, given: dict[str, DataFrame] | None = None
+) -> DataFrame:
+    """``given`` holds tables already opened, so that each file is looked at once."""
+    given = {} if given is None else given
+
+    def opened(source: str) -> DataFrame:
+        if source not in given:
+            given[source] = table(spark, folder, source)
+        return given[source]
+
     if name == "quotes":
-        lines = table(spark, folder, "lineitem").join(
-            table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")
+        lines = opened("lineitem").join(
+            opened("supplier"), F.col("l_suppkey") == F.col("s_suppkey")
         )
         return lines.selectExpr(*[f"{e} as {c}" for c, e in QUOTES.items()])
     if name in ORDER_TABLES:
         aggregates = [F.expr(e).alias(c) for c, e in ORDER_TABLES[name].items()]
-        grouped = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(*aggregates)
+        grouped = opened("lineitem").groupBy("l_orderkey").agg(*aggregates)
         return grouped.selectExpr(f"{ORDER_KEY} as tube_assembly_id", *ORDER_TABLES[name])
     source, columns = ROW_TABLES[name]
-    return table(spark, folder, source).selectExpr(*[f"{e} as {c}" for c, e in columns.items()])
+    return opened(source).selectExpr(*[f"{e} as {c}" for c, e in columns.items()])
 
 
 def stand_ins(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
-    wanted = names or [*ROW_TABLES, *ORDER_TABLES]
-    return {name: stand_in(spark, folder, name) for name in wanted}
+    wanted, given = names or [*ROW_TABLES, *ORDER_TABLES], {}
+    return {name: stand_in(spark, folder, name, given) for name in wanted}
 
 
 def stand_in_sql(name: str) -> str:

@@ -23,7 +23,6 @@ class LinearFit:
     weights: tuple[float, ...]
     intercept: float
     rows: int
-    missing: int
 
     def predict(self, inputs: Mapping[str, Column] | None = None) -> Column:
         """Null where a predictor is null."""
@@ -54,26 +53,19 @@ def fit_linear(
     x = [inputs.get(p, by_name(p)) for p in predictors]
     k = len(x)
     names = [f"x{i}" for i in range(k)]
-    data = df.select(
-        y.cast("double").alias("y"),
-        *[c.cast("double").alias(n) for c, n in zip(x, names)],
-        (F.lit(True) if usable is None else F.coalesce(usable, F.lit(False))).alias("usable"),
+    complete = y.isNotNull() if usable is None else usable & y.isNotNull()
+    for c in x:
+        complete = complete & c.isNotNull()
+    data = df.where(complete).select(
+        y.cast("double").alias("y"), *[c.cast("double").alias(n) for c, n in zip(x, names)]
     )
-    complete = F.col("usable") & F.col("y").isNotNull()
-    for n in names:
-        complete = complete & F.col(n).isNotNull()
-
-    def kept(name: str) -> Column:
-        return F.when(complete, F.col(name))
-
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     row = data.agg(
-        F.count_if(complete).alias("n"),
-        F.count_if(F.col("y").isNull() | ~F.col("usable")).alias("missing"),
-        F.avg(kept("y")).alias("my"),
-        *[F.avg(kept(n)).alias(f"m{i}") for i, n in enumerate(names)],
-        *[F.covar_pop(kept(n), kept("y")).alias(f"c{i}") for i, n in enumerate(names)],
-        *[F.covar_pop(kept(names[i]), kept(names[j])).alias(f"s{i}_{j}") for i, j in pairs],
+        F.count(F.lit(1)).alias("n"),
+        F.avg("y").alias("my"),
+        *[F.avg(n).alias(f"m{i}") for i, n in enumerate(names)],
+        *[F.covar_pop(n, "y").alias(f"c{i}") for i, n in enumerate(names)],
+        *[F.covar_pop(names[i], names[j]).alias(f"s{i}_{j}") for i, j in pairs],
     ).first()
     n = row["n"]
     if n == 0:
@@ -92,7 +84,6 @@ def fit_linear(
         tuple(float(w) for w in weights),
         float(row["my"] - weights @ means),
         n,
-        row["missing"],
     )
 
 
@@ -124,7 +115,7 @@ def impute_regression(
         F.log(y) if log_target else y,
         predictors, alpha, normalize, inputs, usable,
     )
-    if fit is None or (fit.missing == 0 and fitted_on is None):
+    if fit is None:
         return df
     predicted = fit.predict(inputs)
     if log_target:

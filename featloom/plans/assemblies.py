@@ -27,6 +27,7 @@ from featloom.operators.rollup import (
     spec_counts,
 )
 from featloom.plans.recipes import RECIPES, AttributeRecipe
+from featloom.session import in_parallel, materialize
 
 KEY = "tube_assembly_id"
 END_FLAGS = ("end_a_1x", "end_a_2x", "end_x_1x", "end_x_2x")
@@ -50,6 +51,11 @@ class Cutoffs:
     end_form: int = 100
 
 
+def usable_tubes(tubes: DataFrame, max_length: float = 9999) -> DataFrame:
+    """Tubes of known length; quotes of the others are dropped."""
+    return keep_below(tubes, "length", max_length)
+
+
 def tube_features(
     tubes: DataFrame,
     end_forms: DataFrame,
@@ -59,8 +65,8 @@ def tube_features(
     key: str = KEY,
     unique_key: bool = True,
 ) -> DataFrame:
-    """Tubes of known length: material and end indicators, flags, volume, forming of both ends."""
-    tubes = keep_below(tubes, "length", max_length)
+    """Usable tubes: material and end indicators, flags, volume, forming of both ends."""
+    tubes = usable_tubes(tubes, max_length)
     materials = fit_column_vocab(tubes, "material_id", cutoffs.material, "RareMaterial")
     tubes = tubes.withColumns({
         "material_id": materials.bucket(by_name("material_id")),
@@ -108,18 +114,22 @@ def component_table(
     recipes: tuple[AttributeRecipe, ...] = RECIPES,
 ) -> DataFrame:
     """Everything known of a component in one row: names, connections, ends, attributes."""
-    base_names, _ = named_components(
-        tables["components"], cutoffs.base_name, "RareBaseName", base=True, prefix="base_"
-    )
-    connections, _ = pooled_components(
-        connection_sources(tables), cutoffs.connection, "RareConnection",
-        prefix="connection_",
-    )
-    end_forms, _ = pooled_components(
-        end_form_sources(tables), cutoffs.end_form, "RareEndForm", prefix="end_form_"
-    )
-    prepared = [recipe.prepare(tables[recipe.table]) for recipe in recipes]
-    return merge_components([base_names, connections, end_forms, *prepared])
+    pooled = [
+        lambda: named_components(
+            tables["components"], cutoffs.base_name, "RareBaseName", base=True, prefix="base_"
+        )[0],
+        lambda: pooled_components(
+            connection_sources(tables), cutoffs.connection, "RareConnection",
+            prefix="connection_",
+        )[0],
+        lambda: pooled_components(
+            end_form_sources(tables), cutoffs.end_form, "RareEndForm", prefix="end_form_"
+        )[0],
+    ]
+    prepared = [
+        lambda recipe=recipe: recipe.prepare(tables[recipe.table]) for recipe in recipes
+    ]
+    return merge_components(in_parallel([*pooled, *prepared]))
 
 
 def bill_slots(bill: DataFrame, key: str = KEY) -> DataFrame:
@@ -136,13 +146,15 @@ def bill_features(
     key: str = KEY,
 ) -> DataFrame:
     """Bill of materials to one row per assembly, by one join and one aggregation."""
-    vocab = fit_column_vocab(
-        bill, COMPONENT_SLOTS["component"], cutoffs.component, "RareComponent"
-    )
-    return bill_rollup(
-        bill_slots(bill, key), component_table(tables, cutoffs, recipes), key, vocab,
-        prefix="component_",
-    )
+    vocab, table = in_parallel([
+        lambda: fit_column_vocab(
+            bill, COMPONENT_SLOTS["component"], cutoffs.component, "RareComponent"
+        ),
+        # Written out, the table has a measured size: Spark broadcasts it to the slots
+        # if it is small, and sorts both sides if it is not.
+        lambda: materialize(component_table(tables, cutoffs, recipes), "components"),
+    ])
+    return bill_rollup(bill_slots(bill, key), table, key, vocab, prefix="component_")
 
 
 def assembly_features(
@@ -152,7 +164,11 @@ def assembly_features(
     key: str = KEY,
 ) -> DataFrame:
     """Tube, spec and bill features of every assembly with a usable tube."""
-    tubes = tube_features(tables["tube"], tables["tube_end_form"], cutoffs, key=key)
-    specs = spec_counts(tables["specs"], key, SPEC_COLUMNS, cutoffs.spec, prefix="spec_")
-    bill = bill_features(tables["bill_of_materials"], tables, cutoffs, recipes, key)
+    tubes, specs, bill = in_parallel([
+        lambda: tube_features(tables["tube"], tables["tube_end_form"], cutoffs, key=key),
+        lambda: spec_counts(
+            tables["specs"], key, SPEC_COLUMNS, cutoffs.spec, prefix="spec_"
+        ),
+        lambda: bill_features(tables["bill_of_materials"], tables, cutoffs, recipes, key),
+    ])
     return attach(attach(tubes, specs, key), bill, key)

@@ -12,7 +12,7 @@ from featloom.functions.columns import by_name
 from featloom.functions.scalars import date_parts, inverse_log
 from featloom.operators.clean import decode_flag, drop_value
 from featloom.operators.encode import Vocabulary, fit_column_vocab, one_hot
-from featloom.operators.joins import attach
+from featloom.operators.joins import attach, keep_listed
 from featloom.operators.model import (
     assemble,
     cross_validate,
@@ -22,22 +22,21 @@ from featloom.operators.model import (
     with_log_label,
 )
 from featloom.operators.split import group_folds, recombine
-from featloom.plans.assemblies import KEY, Cutoffs, assembly_features
+from featloom.plans.assemblies import KEY, Cutoffs, assembly_features, usable_tubes
 from featloom.plans.recipes import RECIPES, AttributeRecipe
-from featloom.session import materialize
+from featloom.session import in_parallel, materialize
 
 # Columns that are replaced by derived ones, or name the row, before a model sees it.
 NOT_FEATURES = (KEY, "supplier", "annual_usage", "min_order_quantity")
 
 
-def join_assemblies(
-    quotes: DataFrame, assemblies: DataFrame, outlier_quantity: float | None = 2500,
-    key: str = KEY,
+def usable_quotes(
+    quotes: DataFrame, tubes: DataFrame, outlier_quantity: float | None = 2500
 ) -> DataFrame:
-    """Quotes of known assemblies with their features; one quantity is dropped as an outlier."""
+    """Quotes of usable tubes; one quantity is dropped as an outlier (None: keep all)."""
     if outlier_quantity is not None:
         quotes = drop_value(quotes, "quantity", outlier_quantity)
-    return attach(quotes, assemblies, key, how="inner")
+    return keep_listed(quotes, KEY, usable_tubes(tubes))
 
 
 def quote_columns(df: DataFrame) -> DataFrame:
@@ -72,8 +71,12 @@ def quote_features(
     recipes: tuple[AttributeRecipe, ...] = RECIPES, outlier_quantity: float | None = 2500,
 ) -> DataFrame:
     """The full feature table of training quotes, one row per quote."""
-    joined = join_assemblies(quotes, assembly_features(tables, cutoffs, recipes), outlier_quantity)
-    return QuoteEncoder.fit(joined).transform(joined)
+    quotes = usable_quotes(quotes, tables["tube"], outlier_quantity)
+    assemblies, encoder = in_parallel([
+        lambda: assembly_features(tables, cutoffs, recipes),
+        lambda: QuoteEncoder.fit(quotes),
+    ])
+    return encoder.transform(attach(quotes, assemblies, KEY, how="inner"))
 
 
 def feature_names(df: DataFrame, also: Sequence[str] = ()) -> list[str]:
@@ -90,12 +93,18 @@ def score_test_set(
     cost: str = "cost",
     row_id: str = "id",
 ) -> DataFrame:
-    """(id, cost) of every test quote.  Assemblies are computed once for both sides."""
-    assemblies = materialize(assembly_features(tables, cutoffs), "assemblies")
-    train_joined = join_assemblies(train, assemblies)
-    test_joined = join_assemblies(test, assemblies, outlier_quantity=None)
-    encoder = QuoteEncoder.fit(train_joined)
-    train_table, test_table = encoder.transform(train_joined), encoder.transform(test_joined)
+    """(id, cost) of every test quote of a usable tube.
+
+    Assemblies are computed once for both sides; suppliers are those of the training side.
+    """
+    assemblies, encoder = in_parallel([
+        lambda: materialize(assembly_features(tables, cutoffs), "assemblies"),
+        lambda: QuoteEncoder.fit(usable_quotes(train, tables["tube"])),
+    ])
+    train_table = encoder.transform(
+        attach(drop_value(train, "quantity", 2500), assemblies, KEY, how="inner")
+    )
+    test_table = encoder.transform(attach(test, assemblies, KEY, how="inner"))
     features = feature_names(train_table, (cost, row_id))
     train_matrix = assemble(
         to_matrix(train_table, NOT_FEATURES, keep=[cost]), features, [cost]
@@ -116,7 +125,9 @@ def cross_validated_score(
     swap: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Scores and importances of whole-assembly folds, both ways round."""
-    joined = join_assemblies(train, assembly_features(tables, cutoffs))
+    joined = attach(
+        drop_value(train, "quantity", 2500), assembly_features(tables, cutoffs), KEY, how="inner"
+    )
     folded = materialize(group_folds(joined, KEY, base_split, seed), "folds")
 
     def prepare(first: DataFrame, second: DataFrame):

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,8 +17,13 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split skewed join partitions even where that costs one more exchange
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # aggregates of a hundred columns make methods the JVM will not compile; without
+    # code generation they run faster
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
+T = TypeVar("T")
+
 
 def build_session(app: str = "featloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -59,3 +67,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def in_parallel(calls: Iterable[Callable[[], T]], threads: int = 8) -> list[T]:
+    """Run independent fits side by side; each is a small job that waits on the cluster."""
+    calls = list(calls)
+    if len(calls) < 2:
+        return [call() for call in calls]
+    with ThreadPoolExecutor(min(threads, len(calls))) as pool:
+        return list(pool.map(lambda call: call(), calls))
