@@ -276,7 +276,7 @@ def attributes_other(spark, folder):
 def part_name_counts(spark, folder):
     slots, tables = slots_and(spark, folder, "comp_other")
     hot, _ = rollup.named_components(
-        tables["comp_other"], 100, "RarePartName", name="part_name"
+        tables["comp_other"], 10, "RarePartName", name="part_name"
     )
     return long_form(rollup.attributes(slots, hot, KEY), KEY, "category", "n")
 
@@ -514,7 +514,7 @@ TUBE_SQL = f"""tubes as (select * from tube where length < 9999),
     select * replace (round(volume, 5) as volume) from tube_rows""")
 def tube_features(spark, folder):
     tables = stand_ins(spark, folder, "tube", "tube_end_form")
-    features = plan_tube_features(tables["tube"], tables["tube_end_form"])
+    features = plan_tube_features(tables["tube"], tables["tube_end_form"], PLAN_CUTOFFS)
     return features.withColumn("volume", F.round("volume", 5))
 
 
@@ -653,7 +653,11 @@ def top_feature_votes(spark, folder):
 
 # ---- the feature plans
 
-PLAN_CUTOFFS = Cutoffs(base_name=100, spec=1000, connection=100, end_form=100)
+# Low cutoffs keep every category at any scale, so that the columns can be written in SQL;
+# pooling of rare ones is checked above.
+PLAN_CUTOFFS = Cutoffs(
+    material=5, end=5, spec=20, base_name=5, connection=5, end_form=5
+)
 BASE_NAMES = ["blue", "cold", "hot", "large", "new", "old", "red", "small"]
 CONNECTIONS = [f"B-{i}" for i in range(8)]
 END_FORMS = ["9999", *[f"A-{i}" for i in range(7)]]
@@ -738,7 +742,7 @@ def quote_features(spark, folder):
     ])
 
 
-BASIC_CUTOFFS = BasicCutoffs(component=3000, base_name=100, name=3000, supplier=5)
+BASIC_CUTOFFS = BasicCutoffs(component=10**6, base_name=5, name=10**6, supplier=5)
 BASIC_MATERIALS = [f"SP-{i}" for i in range(1, 6)]
 BASIC_ENDS = [f"EF-{i}" for i in range(8)]
 
