@@ -11,7 +11,13 @@ from featloom.checks.row_checks import WORDS, YES_NO
 from featloom.checks.standins import stand_in, stand_ins, table, with_stand_ins
 from featloom.functions.columns import by_name
 from featloom.operators import encode, reshape, rollup
-from featloom.operators.joins import attach, attach_roles, keep_listed
+from featloom.operators.joins import (
+    HOT_ROWS,
+    HOT_ROWS_CONF,
+    attach,
+    attach_roles,
+    keep_listed,
+)
 from featloom.plans.assemblies import (
     COMPONENT_SLOTS,
     bill_slots,
@@ -305,7 +311,12 @@ def attach_salted(spark, folder):
         "case when l_quantity > 48 then null when l_linenumber < 4 then 7 else l_suppkey end as supp",
     )
     suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    return attach(lines, suppliers, "supp", "s_suppkey", skew=True).drop("supp")
+    before = spark.conf.get(HOT_ROWS_CONF, str(HOT_ROWS))
+    spark.conf.set(HOT_ROWS_CONF, "1000")
+    try:
+        return attach(lines, suppliers, "supp", "s_suppkey", skew=True).drop("supp")
+    finally:
+        spark.conf.set(HOT_ROWS_CONF, before)
 
 
 @check("""select o_orderkey, cn.n_name as customer_nation, cn.n_regionkey as customer_region,
@@ -354,13 +365,19 @@ def slot_counts_sql(bucketed: str) -> str:
         join ({bucketed}) on component = component_id group by 1, 2"""
 
 
-@check(f"""with {BILL_SQL}, counts as (select component as v, count(*) as n from slots group by 1)
-    select tube_assembly_id, case when n < 50 then 'RareComponent' else component end as component,
+@check("""with slots as (select l_orderkey, p_brand as component, l_quantity as quantity
+        from lineitem join part on l_partkey = p_partkey),
+    counts as (select component as v, count(*) as n from slots group by 1)
+    select l_orderkey, case when n < 2400 then 'RareComponent' else component end as component,
     sum(quantity) as quantity from slots join counts on component = v group by 1, 2""")
 def component_quantity(spark, folder):
-    slots = bill_slots(stand_in(spark, folder, "bill_of_materials"))
-    wide = rollup.component_quantity(slots, "tube_assembly_id", cutoff=50)
-    return long_form(wide, "tube_assembly_id", "component", "quantity", "double")
+    brands = table(spark, folder, "part").select("p_partkey", F.col("p_brand").alias("component"))
+    lines = table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey", "l_partkey", "l_quantity as quantity"
+    )
+    slots = attach(lines, brands, "l_partkey", "p_partkey", how="inner").drop("l_partkey")
+    wide = rollup.component_quantity(slots, "l_orderkey", cutoff=2400)
+    return long_form(wide, "l_orderkey", "component", "quantity", "double")
 
 
 def slots_and(spark, folder, *names):

@@ -2,92 +2,105 @@
 
 Right sides have one row per key here (roll-ups, dimensions).  The physical
 join is left to Catalyst and AQE, which broadcast by measured size only; no
-broadcast is forced on a side that can grow.  For large inputs the hot keys of
-the left side are found first and their rows spread over salts.
+broadcast is forced.  For large inputs the hot keys of the left side are looked
+up first, and their rows are spread over salts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featloom.functions.columns import as_list, by_name, require_unique
 
-# Left sides estimated below this many bytes are joined without looking for hot keys.
+# Left sides that read fewer bytes than this are joined without looking for hot keys.
 SKEW_MIN_BYTES_CONF = "featloom.skew.minBytes"
-SKEW_MIN_BYTES = 8 << 30
+SKEW_MIN_BYTES = 64 << 30
+# A key is hot from this many rows on, about what one task should sort.
+HOT_ROWS_CONF = "featloom.skew.hotRows"
+HOT_ROWS = 5_000_000
+# At most this many keys are salted; any other owns less than 1/1000 of the rows.
+HOT_KEYS = 1000
 SALTS_CONF = "featloom.skew.salts"
 SALTS = 64
-# At most this many keys are salted.  Any other key owns less than 1/1000 of the rows.
-HOT_KEYS = 1000
+INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan; None where the session does not expose it."""
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes the plan reads, summed over its sources; None where the session hides them.
+
+    Catalyst multiplies the sizes of joined sides, so its estimate for a whole
+    plan says little; that of a source is its size on disk.
+    """
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except AttributeError:
         return None
-    return int(str(stats.sizeInBytes()))
 
 
-def _worth_salting(left: DataFrame) -> bool:
+def _worth_salting(left: DataFrame, right: DataFrame) -> bool:
+    """A large left side, and a right side Spark would not simply broadcast."""
     conf = left.sparkSession.conf
-    size = estimated_bytes(left)
-    return size is None or size >= int(conf.get(SKEW_MIN_BYTES_CONF, str(SKEW_MIN_BYTES)))
-
-
-def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The most frequent keys, at most ``HOT_KEYS`` rows, so always small enough to broadcast.
-
-    Counting combines on the map side: a hot key costs one row per task.
+    least = int(conf.get(SKEW_MIN_BYTES_CONF, str(SKEW_MIN_BYTES)))
+    read = input_bytes(left)
+    if read is not None and read < least:
+        return False
+    threshold = conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # Spark reports it with a unit, as 10485760b.
+    limit = int(threshold.rstrip("bB")) if threshold.rstrip("bB").lstrip("-").isdigit() else 0
+    size = input_bytes(right)
+    return size is None or size > limit
+
+
+def hot_keys(df: DataFrame, keys: list[str]) -> list[int]:
+    """Hashes of the keys with the most rows, at most ``HOT_KEYS``, hot ones only.
+
+    The job reads the key columns; counting combines on the map side, so a hot
+    key costs one row per task.
     """
-    known = [by_name(k).isNotNull() for k in keys]
-    for condition in known:
-        df = df.where(condition)
-    return (
-        df.groupBy(*[by_name(k) for k in keys])
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .where(F.col("__rows") > 1)
-        .orderBy(F.desc("__rows"))
-        .limit(HOT_KEYS)
-        .select(*[by_name(k).alias(f"__hot_{i}") for i, k in enumerate(keys)],
-                F.lit(True).alias("__is_hot"))
-    )
+    least = int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
+    known = df.select(_key_hash(keys).alias("h")).where(F.col("h").isNotNull())
+    counts = known.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return [row.h for row in counts.orderBy(F.desc("n")).limit(HOT_KEYS).collect()]
 
 
-def _mark_hot(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
-    condition = [by_name(k) == F.col(f"__hot_{i}") for i, k in enumerate(keys)]
-    return df.join(F.broadcast(hot), condition, "left").drop(
-        *[f"__hot_{i}" for i in range(len(keys))]
-    )
+def _key_hash(keys: list[str]) -> Column:
+    """Null if a key is.  Text, so that an int and a bigint hash alike."""
+    missing = F.lit(False)
+    for k in keys:
+        missing = missing | by_name(k).isNull()
+    return F.when(~missing, F.xxhash64(*[by_name(k).cast("string") for k in keys]))
 
 
-def _salted(left: DataFrame, right: DataFrame, keys: list[str], right_keys: list[str]):
+def _salted(
+    left: DataFrame, right: DataFrame, keys: list[str], right_keys: list[str], hot: list[int]
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a salt; rows with a null key match nothing and are spread as well."""
     salts = int(left.sparkSession.conf.get(SALTS_CONF, str(SALTS)))
-    hot = hot_keys(left, keys)
-    columns = left.columns
+    key = _key_hash(keys)
     # Equal rows hash alike, so the input partition is mixed in to part exact copies too.
     spread = F.pmod(
-        F.xxhash64(F.spark_partition_id(), *[by_name(c) for c in columns]), F.lit(salts)
+        F.xxhash64(F.spark_partition_id(), *[by_name(c) for c in left.columns]), F.lit(salts)
     ).cast("int")
-    any_null = F.lit(False)
-    for k in keys:
-        any_null = any_null | by_name(k).isNull()
-    left = _mark_hot(left, hot, keys).select(
-        *[by_name(c) for c in columns],
-        F.when(F.col("__is_hot") | any_null, spread).otherwise(F.lit(0)).alias("__salt"),
-    )
-    right_columns = right.columns
-    copies = F.when(F.col("__is_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0))
+    salt = F.when(key.isNull() | key.isin(hot), spread).otherwise(F.lit(0))
+    copies = F.when(
+        _key_hash(right_keys).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))
+    ).otherwise(F.array(F.lit(0)))
+    return (
+        left.select("*", salt.alias("__salt")),
+        right.select("*", F.explode(copies).alias("__right_salt")),
     )
-    right = _mark_hot(right, hot, right_keys).select(
-        *[by_name(c) for c in right_columns], F.explode(copies).alias("__right_salt")
+
+
+def _alike(left: DataFrame, right: DataFrame, keys: list[str], right_keys: list[str]) -> bool:
+    """Whether the key types compare as their texts do."""
+    a, b = dict(left.dtypes), dict(right.dtypes)
+    return all(
+        a[k] == b[r] or {a[k], b[r]} <= INTEGRAL for k, r in zip(keys, right_keys)
     )
-    return left, right
 
 
 def attach(
@@ -97,11 +110,14 @@ def attach(
     right_key: str | Iterable[str] | None = None,
     how: str = "left",
     skew: bool | None = None,
+    hot_from: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``right`` to ``left``: left columns, then the right ones but its key.
 
-    ``how`` is ``left`` or ``inner``.  ``skew`` forces salting of hot keys on or
-    off; by default the estimated size of the left side decides.
+    ``how`` is ``left`` or ``inner``.  ``skew=True`` looks for hot keys and salts
+    them, ``False`` does not (say so where the left side is unique by key); by
+    default the sizes of the inputs decide.  ``hot_from`` is a cheaper table with
+    the left keys to look in.
     """
     if how not in ("left", "inner"):
         raise ValueError("how must be 'left' or 'inner'")
@@ -118,11 +134,14 @@ def attach(
         *[by_name(k).alias(inner) for k, inner in zip(right_keys, inner_keys)],
         *[by_name(c) for c in added],
     )
-    salted = _worth_salting(left) if skew is None else skew
     condition = [by_name(k) == F.col(inner) for k, inner in zip(keys, inner_keys)]
-    if salted:
-        left, right = _salted(left, right, keys, inner_keys)
-        condition.append(F.col("__salt") == F.col("__right_salt"))
+    salting = _worth_salting(left, right) if skew is None else skew
+    if salting and _alike(left, right, keys, inner_keys):
+        # hot_from must hold the same keys; a narrower source spares running the left plan.
+        hot = hot_keys(left if hot_from is None else hot_from, keys)
+        if hot:
+            left, right = _salted(left, right, keys, inner_keys, hot)
+            condition.append(F.col("__salt") == F.col("__right_salt"))
     return left.join(right, condition, how).select(*[by_name(c) for c in output])
 
 

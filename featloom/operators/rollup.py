@@ -249,7 +249,7 @@ def spec_counts(
     if unique_key:
         return specs.select(*kept, has_specs, *row_multi_hot(columns, codes, prefix=prefix))
     grouped = multi_hot(unpivot(specs, key, columns, "__code"), key, "__code", codes, prefix)
-    return attach(specs.select(*kept, has_specs), grouped, key)
+    return attach(specs.select(*kept, has_specs), grouped, key, hot_from=specs)
 
 
 def end_counts(
@@ -279,7 +279,7 @@ def end_counts(
     long = unpivot(tubes, key, columns, "__end")
     long = long.withColumn("__end", bucket(F.col("__end")))
     grouped = multi_hot(long, key, "__end", vocab.labels, prefix)
-    return attach(tubes.select(*kept_columns), grouped, key, how="inner")
+    return attach(tubes.select(*kept_columns), grouped, key, how="inner", hot_from=tubes)
 
 
 def totals(

@@ -171,4 +171,5 @@ def assembly_features(
         ),
         lambda: bill_features(tables["bill_of_materials"], tables, cutoffs, recipes, key),
     ])
-    return attach(attach(tubes, specs, key), bill, key)
+    # One row per assembly on every side, so no key is hot.
+    return attach(attach(tubes, specs, key, skew=False), bill, key, skew=False)

@@ -119,7 +119,7 @@ def basic_bill(
         bill.select(by_name(KEY), *[by_name(c) for c in COMPONENT_SLOTS["quantity"]]),
         summed={"components": COMPONENT_SLOTS["quantity"]},
     ).drop(*COMPONENT_SLOTS["quantity"])
-    return zero_fill(attach(summed, rolled, KEY))
+    return zero_fill(attach(summed, rolled, KEY, skew=False))
 
 
 def basic_specs(specs: DataFrame) -> DataFrame:
@@ -133,7 +133,8 @@ def basic_assemblies(
 ) -> DataFrame:
     tubes = basic_tubes(tables["tube"], tables["tube_end_form"], cutoffs)
     bill = basic_bill(tables["bill_of_materials"], tables["components"], cutoffs)
-    return attach(attach(tubes, bill, KEY), basic_specs(tables["specs"]), KEY)
+    with_bill = attach(tubes, bill, KEY, skew=False)
+    return attach(with_bill, basic_specs(tables["specs"]), KEY, skew=False)
 
 
 def basic_quote_features(
@@ -143,9 +144,9 @@ def basic_quote_features(
     cutoffs: BasicCutoffs = BasicCutoffs(),
 ) -> DataFrame:
     """All quotes, also those of unknown assemblies; suppliers bucketed as counted in ``fitted_on``."""
-    df = attach(quotes, assemblies, KEY)
     counts = distribution(quotes if fitted_on is None else fitted_on, "supplier")
-    df = bucket_rare(df, "supplier", counts, cutoffs.supplier, "RareSupplier")
+    df = bucket_rare(quotes, "supplier", counts, cutoffs.supplier, "RareSupplier")
+    df = attach(df, assemblies, KEY, hot_from=quotes)
     df = df.withColumns({
         "bracket_pricing": decode_flag_strict(by_name("bracket_pricing")),
         "inv_annual_usage": inverse_plus_one(by_name("annual_usage")),

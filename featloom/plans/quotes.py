@@ -71,10 +71,11 @@ def quote_features(
     recipes: tuple[AttributeRecipe, ...] = RECIPES, outlier_quantity: float | None = 2500,
 ) -> DataFrame:
     """The full feature table of training quotes, one row per quote."""
-    quotes = usable_quotes(quotes, tables["tube"], outlier_quantity)
+    if outlier_quantity is not None:
+        quotes = drop_value(quotes, "quantity", outlier_quantity)
     assemblies, encoder = in_parallel([
         lambda: assembly_features(tables, cutoffs, recipes),
-        lambda: QuoteEncoder.fit(quotes),
+        lambda: QuoteEncoder.fit(usable_quotes(quotes, tables["tube"], None)),
     ])
     return encoder.transform(attach(quotes, assemblies, KEY, how="inner"))
 

@@ -11,8 +11,8 @@ from featloom.operators.joins import (
     HOT_KEYS,
     attach,
     attach_roles,
-    estimated_bytes,
     hot_keys,
+    input_bytes,
     keep_listed,
 )
 
@@ -20,6 +20,7 @@ from featloom.operators.joins import (
 @pytest.fixture
 def skewed(spark):
     """Two thirds of the rows are exact copies with one key, some have none."""
+    spark.conf.set("featloom.skew.hotRows", "100")
     return spark.range(900).select(
         F.when(F.col("id") < 600, F.lit(7)).when(F.col("id") < 700, F.lit(None))
         .otherwise(F.col("id")).cast("long").alias("k"),
@@ -54,23 +55,45 @@ def test_salting_spreads_the_hot_key(spark, skewed):
     assert tasks > 4
 
 
-def test_hot_keys_are_bounded_and_skip_nulls(spark, skewed):
-    hot = hot_keys(skewed, ["k"])
-    assert values(hot, "__hot_0") == [(7,)]
-    many = spark.range(HOT_KEYS * 6).select((F.col("id") % (HOT_KEYS * 2)).alias("k"))
-    assert hot_keys(many, ["k"]).count() == HOT_KEYS
+def test_hot_keys_are_the_largest_and_bounded(spark, skewed):
+    assert len(hot_keys(skewed, ["k"])) == 1
+    twice = spark.range(HOT_KEYS * 6).select((F.col("id") % (HOT_KEYS * 2)).alias("k"))
+    assert hot_keys(twice, ["k"]) == []
+    spark.conf.set("featloom.skew.hotRows", "2")
+    try:
+        assert len(hot_keys(twice, ["k"])) == HOT_KEYS
+    finally:
+        spark.conf.set("featloom.skew.hotRows", "100")
+
 
+def test_inputs_decide_about_salting(spark, skewed, tmp_path):
+    skewed.write.parquet(str(tmp_path / "left"))
+    left = spark.read.parquet(str(tmp_path / "left"))
+    right = left.groupBy("k").agg(F.max("v").alias("w"))
+    assert 0 < input_bytes(left) < 10**6
 
-def test_large_left_sides_are_salted_by_estimate(spark, skewed):
-    right = spark.range(10).select(F.col("id").alias("k"), F.col("id").alias("w"))
-    assert estimated_bytes(skewed) > 0
+    def salted(df):
+        return "__salt" in df._jdf.queryExecution().analyzed().toString()
+
+    assert not salted(attach(left, right, "k"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("featloom.skew.minBytes", "1")
     try:
-        joined = attach(skewed, right, "k")
-        assert "__salt" in joined._jdf.queryExecution().analyzed().toString()
+        assert not salted(attach(left, right, "k"))  # small enough to broadcast
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10")
+        assert salted(attach(left, right, "k"))
+        assert salted(attach(left, right, "k", hot_from=left.select("k")))
+        assert not salted(attach(left, right, "k", skew=False))
     finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.conf.unset("featloom.skew.minBytes")
-    assert "__salt" not in attach(skewed, right, "k")._jdf.queryExecution().analyzed().toString()
+
+
+def test_salted_join_of_int_and_bigint_and_of_unlike_types(spark, skewed):
+    right = spark.range(0, 880).select(F.col("id").cast("int").alias("k"), F.col("id").alias("w"))
+    for r in (right, right.withColumn("k", F.col("k").cast("double"))):
+        plain = attach(skewed, r, "k", skew=False)
+        assert Counter(values(attach(skewed, r, "k", skew=True))) == Counter(values(plain))
 
 
 def test_attach_composite_keys_and_clashes(spark):
