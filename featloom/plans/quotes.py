@@ -111,7 +111,8 @@ def score_test_set(
         to_matrix(train_table, NOT_FEATURES, keep=[cost]), features, [cost]
     )
     test_matrix = assemble(to_matrix(test_table, NOT_FEATURES, keep=[row_id]), features, [row_id])
-    model = fit(with_log_label(train_matrix, cost))
+    # Boosting reads its input many times; the features behind it are computed once.
+    model = fit(materialize(with_log_label(train_matrix, cost), "matrix"))
     return predictions(model, test_matrix, [row_id], cost)
 
 
@@ -126,10 +127,10 @@ def cross_validated_score(
     swap: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Scores and importances of whole-assembly folds, both ways round."""
-    joined = attach(
-        drop_value(train, "quantity", 2500), assembly_features(tables, cutoffs), KEY, how="inner"
+    folded = group_folds(usable_quotes(train, tables["tube"]), KEY, base_split, seed)
+    folded = materialize(
+        attach(folded, assembly_features(tables, cutoffs), KEY, how="inner"), "folds"
     )
-    folded = materialize(group_folds(joined, KEY, base_split, seed), "folds")
 
     def prepare(first: DataFrame, second: DataFrame):
         encoder = QuoteEncoder.fit(first)
