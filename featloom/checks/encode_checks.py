@@ -102,7 +102,7 @@ def bucket_rare_multi(spark, folder):
     bill, columns = stand_in(spark, folder, "bill_of_materials"), COMPONENT_SLOTS["component"]
     vocab = encode.fit_column_vocab(bill, columns, 50, "RareComponent")
     return bill.select(
-        "tube_assembly_id", *[vocab.bucket(F.col(c)).alias(c) for c in columns]
+        "tube_assembly_id", *[vocab.bucket(c).alias(c) for c in columns]
     )
 
 

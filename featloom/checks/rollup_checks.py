@@ -45,6 +45,7 @@ from featloom.plans.recipes import (
     STRAIGHT,
     clean_parts,
 )
+from featloom.session import in_parallel
 
 KEY = "tube_assembly_id"
 
@@ -256,6 +257,25 @@ for _recipe in RECIPES:
     )(attribute_query(_recipe))
 
 
+ATTRIBUTE_TABLES = [recipe.table for recipe in RECIPES]
+ATTRIBUTE_KINDS = [recipe.suffix for recipe in RECIPES]
+
+
+@check(f"""with {BILL_SQL}, {with_stand_ins(*ATTRIBUTE_TABLES)},
+    {", ".join(prepared_sql(kind) for kind in ATTRIBUTE_KINDS)}
+    select tube_assembly_id, {", ".join(c for kind in ATTRIBUTE_KINDS for c in summed_sql(kind))}
+    from slots {" ".join(f"left join prepared_{kind} on component = prepared_{kind}.component_id"
+                         for kind in ATTRIBUTE_KINDS)} group by 1""")
+def attributes_rollup(spark, folder):
+    """All ten tables at once: merged into one, joined once, summed once."""
+    slots, tables = slots_and(spark, folder, *ATTRIBUTE_TABLES)
+    prepared = in_parallel([
+        lambda recipe=recipe: recipe.prepare(tables[recipe.table]) for recipe in RECIPES
+    ])
+    merged = rollup.merge_components(prepared)
+    return rounded(rollup.sum_components(slots, merged, KEY), 3)
+
+
 @check(f"""with {BILL_SQL}, {with_stand_ins("comp_other")},
     named as (select component_id, case part_name when 'TUBE AS.' then 'TUBE AS'
         when 'FITTING-A/C' then 'FITTING' else part_name end as part_name, weight
@@ -664,7 +684,7 @@ END_FORMS = ["9999", *[f"A-{i}" for i in range(7)]]
 SPECS = ["SP-A", "SP-AF", "SP-AO", "SP-F", "SP-N", "SP-NF", "SP-NO", "SP-O", "SP-R", "SP-RF",
          "SP-RO"]
 SUPPLIERS = [f"S-{i}" for i in range(25)]
-KINDS = [recipe.suffix for recipe in RECIPES]
+KINDS = ATTRIBUTE_KINDS
 
 
 def pooled_sql(name: str, source: str, values: list[str], prefix: str, rare: str) -> str:

@@ -254,7 +254,7 @@ def leading_token(spark, folder):
     )
 
 
-@check("select l_orderkey, l_quantity, l_linenumber from lineitem")
+@check("select l_orderkey, l_quantity, l_linenumber from lineitem", name="select_matching")
 def select_by_pattern(spark, folder):
     return select_matching(
         table(spark, folder, "lineitem"), "(quantity|number)$", keep=["l_orderkey"]
@@ -262,7 +262,7 @@ def select_by_pattern(spark, folder):
 
 
 @check("""select p_partkey, p_size as p_size_part, p_retailprice as p_retailprice_part
-    from part""")
+    from part""", name="suffix_columns")
 def suffixed_columns(spark, folder):
     df = table(spark, folder, "part").select("p_partkey", "p_size", "p_retailprice")
     df = df.withColumnRenamed("p_size", "p_size_part")

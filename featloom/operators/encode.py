@@ -47,19 +47,32 @@ class Vocabulary:
     def labels(self) -> tuple:
         return self.values if self.rare_label is None else (*self.values, self.rare_label)
 
-    def bucket(self, value: Column) -> Column:
+    def bucket(self, value: Column | str) -> Column:
         """Frequent values as they are, others as the rare label.
 
         Right for data the vocabulary was fitted on, where every value has been
         counted, and for any data if there is no rare label (cutoff 1): there a
         value outside the vocabulary is an unseen one and becomes null.  Other
-        data needs :func:`bucket_rare`.
+        data needs :func:`bucket_rare`.  A column given by name is quicker to
+        plan when the vocabulary is long.
         """
-        known = value.isin(*self.values) if self.values else F.lit(False)
-        kept = F.when(known, value)
+        column = by_name(value) if isinstance(value, str) else value
+        if not self.values:
+            known = F.lit(False)
+        elif isinstance(value, str) and all(isinstance(v, str) for v in self.values):
+            # One parsed list instead of a call into the JVM per value.
+            name = value.replace("`", "``")
+            known = F.expr(f"`{name}` in ({', '.join(map(_text_literal, self.values))})")
+        else:
+            known = column.isin(*self.values)
+        kept = F.when(known, column)
         if self.rare_label is None:
             return kept
-        return kept.when(value.isNotNull(), F.lit(self.rare_label))
+        return kept.when(column.isNotNull(), F.lit(self.rare_label))
+
+
+def _text_literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def fit_vocab(

@@ -15,6 +15,7 @@ from featloom.operators.metrics import rmsle
 from featloom.session import checkpoint_dir
 
 FEATURES = "features"
+DEEP = 10
 LABEL = "label"
 
 
@@ -61,14 +62,15 @@ def fit_gbt(
 ) -> Model:
     """Boosted trees on the label column.  Statistics of all splits are summed on executors.
 
-    Node ids are cached and checkpointed to the shared folder, so a long run
-    survives the loss of an executor without replaying every round.
+    The running prediction is checkpointed to the shared folder, so a long run
+    survives the loss of an executor without replaying every round.  Deep trees also
+    keep each row's node instead of walking the tree again.
     """
     checkpoint_dir(matrix.sparkSession)
     return GBTRegressor(
         featuresCol=FEATURES, labelCol=LABEL, lossType=loss, maxIter=rounds, maxDepth=depth,
         stepSize=step, subsamplingRate=subsample, featureSubsetStrategy=str(features_share),
-        minInstancesPerNode=min_rows, seed=seed, cacheNodeIds=True,
+        minInstancesPerNode=min_rows, seed=seed, cacheNodeIds=depth > DEEP,
         checkpointInterval=checkpoint_every,
     ).fit(matrix)
 
@@ -80,7 +82,7 @@ def fit_forest(
     checkpoint_dir(matrix.sparkSession)
     return RandomForestRegressor(
         featuresCol=FEATURES, labelCol=LABEL, numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=min_rows, seed=seed, cacheNodeIds=True,
+        minInstancesPerNode=min_rows, seed=seed, cacheNodeIds=depth > DEEP,
         checkpointInterval=checkpoint_every,
     ).fit(matrix)
 

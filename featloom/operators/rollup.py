@@ -85,7 +85,7 @@ def component_quantity(
     """Quantity of each frequent component per key, the others pooled."""
     if vocab is None:
         vocab = fit_column_vocab(slots, component, cutoff, rare_label)
-    bucketed = slots.withColumn(component, vocab.bucket(by_name(component)))
+    bucketed = slots.withColumn(component, vocab.bucket(component))
     return pivot_sum(bucketed, key, component, quantity, vocab.labels, prefix=prefix)
 
 
@@ -102,7 +102,7 @@ def named_components(
     value = leading_token(by_name(name)) if base else by_name(name)
     named = components.select(by_name(component_id), value.alias("__name"))
     vocab = fit_column_vocab(named, "__name", cutoff, rare_label)
-    bucketed = named.withColumn("__name", vocab.bucket(F.col("__name")))
+    bucketed = named.withColumn("__name", vocab.bucket("__name"))
     hot = indicators(F.col("__name"), vocab.labels, prefix)
     return bucketed.select(by_name(component_id), *hot), vocab
 
@@ -120,7 +120,7 @@ def pooled_components(
     """
     long = pool_attribute(sources, component_id, "__value")
     vocab = fit_vocab(distribution(long, "__value"), cutoff, rare_label)
-    bucketed = long.withColumn("__value", vocab.bucket(F.col("__value")))
+    bucketed = long.withColumn("__value", vocab.bucket("__value"))
     return multi_hot(bucketed, component_id, "__value", vocab.labels, prefix), vocab
 
 
@@ -211,8 +211,9 @@ def bill_rollup(
     quantities: list[Column] = [F.sum(by_name(quantity)).alias("total_components")]
     names = ["total_components"]
     if vocab is not None:
-        named = by_name(component)
-        bucketed = vocab.bucket(null_if_in(named, null_values) if null_values else named)
+        bucketed = vocab.bucket(
+            null_if_in(by_name(component), null_values) if null_values else component
+        )
         joined = joined.withColumn("__bucket", bucketed)
         quantities += [
             F.sum(F.when(F.col("__bucket") == label, by_name(quantity))).alias(

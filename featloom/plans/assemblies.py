@@ -69,7 +69,7 @@ def tube_features(
     tubes = usable_tubes(tubes, max_length)
     materials = fit_column_vocab(tubes, "material_id", cutoffs.material, "RareMaterial")
     tubes = tubes.withColumns({
-        "material_id": materials.bucket(by_name("material_id")),
+        "material_id": materials.bucket("material_id"),
         "bend_radius": replace_sentinel(by_name("bend_radius"), bend_default),
         **{c: decode_flag(by_name(c)) for c in END_FLAGS},
         "volume": wall_volume(by_name("diameter"), by_name("wall"), by_name("length")),

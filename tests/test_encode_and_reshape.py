@@ -37,6 +37,16 @@ def test_join_and_expression_buckets_agree_on_the_fitted_data(words):
     assert values(joined) == values(words.select(vocab.bucket(F.col("w"))))
 
 
+def test_bucket_by_name_equals_bucket_by_column(spark):
+    words = ["plain", "it's", "back\\slash", "per%cent", "new\nline", "q\"uote", "\\'", "rare"]
+    df = spark.createDataFrame([(w,) for w in words for _ in range(2)][:-1] + [(None,)], "`w x` string")
+    vocab = encode.fit_column_vocab(df, "w x", 2, "Rare")
+    assert len(vocab.values) == 7
+    by_text = df.select(vocab.bucket("w x").alias("w"))
+    assert values(by_text) == values(df.select(vocab.bucket(F.col("`w x`")).alias("w")))
+    assert values(by_text.where("w = 'Rare'")) == [("Rare",)]
+
+
 def test_null_values_come_first(spark):
     df = spark.createDataFrame([("9999",)] * 5 + [("a",)], "w string")
     out = encode.bucket_rare(df, "w", encode.distribution(df, "w"), 1, null_values=["9999"])
