@@ -154,9 +154,10 @@ def folder(tmp_path_factory):
     ) for i, k in enumerate(keys)])
     table("tube_end_form", [dict(end_form_id=f"EF-{i}", forming="Yes" if i else "No") for i in range(3)])
     table("bill_of_materials", [dict(
-        tube_assembly_id=k, component_id_1=f"C-{i % 11}", quantity_1=2,
-        **({"component_id_2": f"C-{i % 7}", "quantity_2": 1} if i % 3 else {}),
-    ) for i, k in enumerate(keys) if i != 5])
+        tube_assembly_id=k,  # the sixth bill is there but empty
+        **({"component_id_1": f"C-{i % 11}", "quantity_1": 2} if i != 5 else {}),
+        **({"component_id_2": f"C-{i % 7}", "quantity_2": 1} if i % 3 and i != 5 else {}),
+    ) for i, k in enumerate(keys)])
     table("specs", [dict(
         tube_assembly_id=k, **({"spec1": f"SP-{i % 2}"} if i % 4 else {})) for i, k in enumerate(keys)])
     names = ["NUT-SWIVEL", "NUT-FLARED", "SLEEVE-ORFS", "ELBOW", "NA"]
