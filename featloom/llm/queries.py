@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from featloom.llm import mixing, url_filter
+from featloom.llm import (
+    decontaminate,
+    html_text,
+    language,
+    line_dedup,
+    mixing,
+    quality,
+    secrets,
+    simhash,
+    url_filter,
+)
 from featloom.llm.common import table
 
 
@@ -14,10 +24,53 @@ def op1_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, folder, "pages"), listed)
 
 
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(table(spark, folder, "documents"))
+
+
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return language.predict(documents, language.learn(documents))
+
+
+def op4_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
+
+
+def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash.group(table(spark, folder, "documents"))
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return groups.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {q.__name__: q for q in (op1_url_filter, op7_source_mix)}
-ORACLES = {"op1_url_filter": url_filter.URL_SQL, "op7_source_mix": mixing.MIX_SQL}
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.judge(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return quality.judge(documents, quality.fit(documents, table(spark, folder, "labels")))
+
+
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.summary(table(spark, folder, "documents"))
+
+
+QUERIES = {
+    q.__name__: q
+    for q in (
+        op1_url_filter, op2_secret_scan, op3_language, op4_html_text, op5_simhash, op7_source_mix, op8_decontamination,
+        op9_quality, op10_line_dedup,
+    )
+}
+ORACLES = {
+    "op1_url_filter": url_filter.URL_SQL,
+    "op7_source_mix": mixing.MIX_SQL,
+    "op8_decontamination": decontaminate.DECONTAMINATION_SQL,
+    "op10_line_dedup": line_dedup.LINE_SQL,
+}
