@@ -14,6 +14,7 @@ from featloom.llm import (
     quality,
     secrets,
     simhash,
+    suffix_dedup,
     url_filter,
 )
 from featloom.llm.common import table
@@ -43,6 +44,10 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, folder, "documents"))
+
+
 def op7_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.mix(table(spark, folder, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -64,7 +69,8 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     q.__name__: q
     for q in (
-        op1_url_filter, op2_secret_scan, op3_language, op4_html_text, op5_simhash, op7_source_mix, op8_decontamination,
+        op1_url_filter, op2_secret_scan, op3_language, op4_html_text, op5_simhash, op6_substring_dedup,
+        op7_source_mix, op8_decontamination,
         op9_quality, op10_line_dedup,
     )
 }

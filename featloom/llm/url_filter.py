@@ -149,6 +149,18 @@ def fit_cascade(
     return Cascade(tuple(levels))
 
 
+def may_contain(
+    keys: DataFrame, key: Column, bits_per_key: int = BITS_PER_KEY, most_bytes: int = MOST_BYTES
+) -> Column:
+    """True for every one of ``keys`` and for few others; always true where the bits would
+    exceed ``most_bytes``.  Only to leave rows out early that an exact join drops anyway."""
+    bits = max(64, 64 * math.ceil(keys.count() * bits_per_key / 64))
+    if bits // 8 > most_bytes:
+        return F.lit(True)
+    words = materialize(_bit_array(keys, 0, bits), "bloom-bits")
+    return _all_set(words.scalar(), key, 0, bits)
+
+
 def filter_urls(
     pages: DataFrame,
     listed: Column,
