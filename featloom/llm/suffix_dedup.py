@@ -215,10 +215,43 @@ def _packer(length: int, buckets: int):
 # ---- anchors to repeats
 
 
-def _lists(values: np.ndarray, owner: np.ndarray, docs: int, kind) -> pa.ListArray:
-    """Values as one list per document; owner is sorted."""
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=docs))])
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(kind)))
+# Entries of documents on the way home: a place and a mark each.  Packed by the document's
+# own bucket, so that their rows follow the buckets and not documents times buckets.
+_HOME = "bucket int, ids binary, keys binary, number binary, place binary, mark binary"
+_FOUND = "doc_id bigint, text_key bigint, places array<int>, marks array<bigint>"
+WHOLE, OPEN = -1, 0  # every string around the place goes; not known yet
+
+
+def _send_home(ids, keys, doc, place, mark, buckets: int) -> pa.RecordBatch:
+    names = [c.split()[0] for c in _HOME.split(", ")]
+    h = (ids.astype(np.uint64) * _P ^ keys.astype(np.uint64)) * _Q
+    home = ((h >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)[doc]
+    rows = []
+    for bucket, own in _by_bucket(home):
+        docs_here, local = np.unique(doc[own], return_inverse=True)
+        rows.append((
+            bucket, ids[docs_here].tobytes(), keys[docs_here].tobytes(), local.astype("<u4").tobytes(),
+            place[own].astype("<u4").tobytes(), mark[own].astype("<i8").tobytes(),
+        ))
+    return _batch(rows, names, [pa.int32(), *[pa.binary()] * 5])
+
+
+def _at_home(rows: list[list]):
+    """One row per document of a home bucket, with all its entries."""
+    ids, keys, doc, place, mark = _join_rows(rows, [_i8, _i8, _u4, _u4, _i8])
+    same = np.lexsort((keys, ids))
+    new = np.concatenate([[True], (ids[same][1:] != ids[same][:-1]) | (keys[same][1:] != keys[same][:-1])])
+    one = np.empty(len(ids), np.int64)
+    one[same] = np.cumsum(new) - 1
+    order = np.argsort(one[doc], kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(one[doc], minlength=int(new.sum())))])
+    offsets = pa.array(offsets.astype(np.int32))
+    yield pa.record_batch(
+        [pa.array(ids[same][new]), pa.array(keys[same][new]),
+         pa.ListArray.from_arrays(offsets, pa.array(place[order].astype(np.int32))),
+         pa.ListArray.from_arrays(offsets, pa.array(mark[order]))],
+        ["doc_id", "text_key", "places", "marks"],
+    )
 
 
 def _join_rows(rows: list[list], fields: list) -> list[np.ndarray]:
@@ -236,11 +269,15 @@ def _i8(data):
     return np.frombuffer(data, np.int64)
 
 
-def _repeats(rows: list[list]):
-    """(doc_id, text_key, full, open) of one bucket of packed anchors."""
+def _u4(data):
+    return np.frombuffer(data, "<u4").astype(np.int64)
+
+
+def _repeats(rows: list[list], buckets: int):
+    """Entries of one bucket of packed anchors that two documents or more have."""
     ids, keys, doc, place, anchor, piece = _join_rows(rows, [
         _i8, _i8, lambda d: np.frombuffer(d, "<u2").astype(np.int64),
-        lambda d: np.frombuffer(d, "<u4").astype(np.int64), _from_six, _from_six,
+        _u4, _from_six, _from_six,
     ])
     order = np.argsort(anchor, kind="stable")
     ordered = anchor[order]
@@ -252,14 +289,9 @@ def _repeats(rows: list[list]):
     alike = np.minimum.reduceat(around, first) == np.maximum.reduceat(around, first)
     full = order[np.repeat(several & alike, sizes) & (holder > np.repeat(least, sizes))]
     unclear = order[np.repeat(several & ~alike, sizes)]
-    used = np.unique(np.concatenate([doc[full], doc[unclear]]))
-    columns = []
-    for entries in (full, unclear):
-        entries = entries[np.argsort(doc[entries], kind="stable")]
-        columns.append(_lists(place[entries], np.searchsorted(used, doc[entries]), len(used), np.int32))
-    return pa.record_batch(
-        [pa.array(ids[used]), pa.array(keys[used]), *columns], ["doc_id", "text_key", "full", "unclear"]
-    )
+    entries = np.concatenate([full, unclear])
+    mark = np.repeat([WHOLE, OPEN], [len(full), len(unclear)])
+    yield _send_home(ids, keys, doc[entries], place[entries], mark, buckets)
 
 
 def _per_bucket(handle):
@@ -369,9 +401,9 @@ def _cutter(length: int, buckets: int):
     def work(batches):
         held, count = ([], [], [], [], []), 0
         for batch in batches:
-            for doc_id, key, text, places in zip(*(batch.column(i) for i in range(4))):
+            for doc_id, key, text, places, marks in zip(*(batch.column(i) for i in range(5))):
                 data = np.frombuffer(text.as_py(), np.uint8)
-                at = np.unique(places.values.to_numpy()).astype(np.int64)
+                at = np.unique(_numbers(places)[_numbers(marks) == OPEN]).astype(np.int64)
                 padded = np.concatenate([np.zeros(reach, np.uint8), data, np.zeros(length, np.uint8)])
                 # parts of the places, so that a very long text needs no matrix of its own
                 for a in range(0, len(at), 1 << 15):
@@ -393,14 +425,14 @@ def _cutter(length: int, buckets: int):
     return work
 
 
-def _marker(length: int):
+def _marker(length: int, buckets: int):
     width = 2 * length - GRAM
     reach = length - GRAM
 
     def handle(rows):
         ids, keys, doc, place, sides, bodies = _join_rows(rows, [
-            _i8, _i8, lambda d: np.frombuffer(d, "<u4").astype(np.int64),
-            lambda d: np.frombuffer(d, "<u4").astype(np.int64),
+            _i8, _i8, _u4,
+            _u4,
             lambda d: np.frombuffer(d, np.uint8).reshape(-1, 2).astype(np.int64),
             lambda d: np.frombuffer(d, np.uint8).reshape(-1, width),
         ])
@@ -414,14 +446,7 @@ def _marker(length: int):
             if len(own) > 1:
                 marks[own] = mark_repeats(bodies[own], ids[doc[own]], sides[own, 0], sides[own, 1], length)
         hit = np.flatnonzero(marks)
-        hit = hit[np.argsort(doc[hit], kind="stable")]
-        used = np.unique(doc[hit])
-        owner = np.searchsorted(used, doc[hit])
-        yield pa.record_batch(
-            [pa.array(ids[used]), pa.array(keys[used]), _lists(place[hit], owner, len(used), np.int32),
-             _lists(marks[hit], owner, len(used), np.int64)],
-            ["doc_id", "text_key", "at", "marks"],
-        )
+        yield _send_home(ids, keys, doc[hit], place[hit], marks[hit], buckets)
 
     return handle
 
@@ -459,38 +484,30 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = max(8, -(-total // BUCKET_BYTES))
     long_enough = docs.where(F.col("doc_id").isNotNull() & (size >= length))
 
+    def by_bucket(packed: DataFrame, handle, schema: str) -> DataFrame:
+        dealt = packed.repartitionById(buckets, F.col("bucket"))
+        return dealt.mapInArrow(_per_bucket(handle), schema)
+
     packed = long_enough.mapInArrow(_packer(length, buckets), _PACKED)
-    found = packed.repartition(buckets, "bucket").mapInArrow(
-        _per_bucket(lambda rows: [_repeats(rows)]),
-        "doc_id bigint, text_key bigint, full array<int>, unclear array<int>",
-    )
-    key = ["doc_id", "text_key"]
-    found = materialize(
-        found.groupBy(*key).agg(
-            F.flatten(F.collect_list("full")).alias("full"), F.flatten(F.collect_list("unclear")).alias("unclear")
-        ),
-        "substring-anchors",
-    )
+    sent = by_bucket(packed, lambda rows: _repeats(rows, buckets), _HOME)
+    found = materialize(by_bucket(sent, _at_home, _FOUND), "substring-anchors")
 
-    unclear = found.where(F.size("unclear") > 0).select(*key, "unclear")
-    pieces = _with_text(long_enough, unclear).select(*key, "body", "unclear")
+    key = ["doc_id", "text_key"]
+    unclear = found.where(F.array_contains("marks", F.lit(OPEN).cast("long")))
+    pieces = _with_text(long_enough, unclear).select(*key, "body", "places", "marks")
     pieces = pieces.dropDuplicates(key).mapInArrow(_cutter(length, buckets), _PIECES)
-    marks = pieces.repartition(buckets, "bucket").mapInArrow(
-        _per_bucket(_marker(length)), "doc_id bigint, text_key bigint, at array<int>, marks array<bigint>"
-    )
-    marks = marks.groupBy(*key).agg(
-        F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("marks")).alias("marks")
-    )
-    gone = materialize(
-        found.where(F.size("full") > 0).select(*key, "full").join(marks, key, "full_outer"), "substring-marks"
-    )
+    marked = by_bucket(by_bucket(pieces, _marker(length, buckets), _HOME), _at_home, _FOUND)
+    marked = marked.select(*key, F.col("places").alias("at"), F.col("marks").alias("bits"))
+    whole = found.where(F.array_contains("marks", F.lit(WHOLE).cast("long")))
+    gone = materialize(whole.join(marked, key, "full_outer"), "substring-marks")
 
     def remove(batches):
         for batch in batches:
             rows = []
-            for body, full, at, mark in zip(*(batch.column(i) for i in range(2, 6))):
+            for body, places, marks, at, bits in zip(*(batch.column(i) for i in range(2, 7))):
                 data = np.frombuffer(body.as_py(), np.uint8)
-                off = removed_bytes(len(data), _numbers(full), _numbers(at), _numbers(mark), length)
+                full = _numbers(places)[_numbers(marks) == WHOLE]
+                off = removed_bytes(len(data), full, _numbers(at), _numbers(bits), length)
                 runs = int(np.diff(np.concatenate([[0], off.astype(np.int8)])).clip(0).sum())
                 rows.append((int(off.sum()), runs, hashlib.sha256(data[~off].tobytes()).hexdigest()))
             yield pa.record_batch(
@@ -499,9 +516,10 @@ def dedup(documents: DataFrame, length: int = LENGTH) -> DataFrame:
                 ["d", "t", "removed", "spans", "sha"],
             )
 
-    cleaned = _with_text(long_enough, gone).select(*key, "body", "full", "at", "marks").dropDuplicates(key)
+    cleaned = _with_text(long_enough, gone).select(*key, "body", "places", "marks", "at", "bits")
     cleaned = materialize(
-        cleaned.mapInArrow(remove, "d bigint, t bigint, removed bigint, spans bigint, sha string"), "substring-kept"
+        cleaned.dropDuplicates(key).mapInArrow(remove, "d bigint, t bigint, removed bigint, spans bigint, sha string"),
+        "substring-kept",
     )
     every = docs.select(*key, size.cast("long").alias("n_bytes"), F.sha2("body", 256).alias("whole"))
     zero = F.lit(0).cast("long")
