@@ -160,13 +160,21 @@ def _platt(scores: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     good, bad = y.sum(), (1 - y).sum()
     goal = np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2))
     x = np.stack([scores, np.ones_like(scores)], 1)
-    ab = np.array([1.0, 0.0])
-    for _ in range(50):
+
+    def loss(ab):
+        z = x @ ab
+        return (np.logaddexp(0, z) - goal * z).sum()
+
+    ab = np.array([0.0, np.log((good + 1) / (bad + 1))])
+    for _ in range(100):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ ab, -50, 50)))
-        curve = x.T @ (x * (p * (1 - p))[:, None]) + 1e-6 * np.eye(2)
-        step = np.linalg.solve(curve, x.T @ (p - goal) + 1e-6 * (ab - [1.0, 0.0]))
-        ab = ab - np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
+        slope = x.T @ (p - goal)
+        curve = x.T @ (x * (p * (1 - p))[:, None]) + 1e-9 * np.eye(2)
+        step, size = np.linalg.solve(curve, slope), 1.0
+        while loss(ab - size * step) > loss(ab) and size > 1e-9:
+            size /= 2
+        ab = ab - size * step
+        if np.abs(size * step).max() < 1e-9:
             break
     return float(ab[0]), float(ab[1])
 
