@@ -120,8 +120,9 @@ def dedup(documents: DataFrame, window: int = WINDOW, long_words: int = LONG_WOR
 def _apply(documents: DataFrame, gone: DataFrame, counts: bool = False) -> DataFrame:
     d, t, r = fresh(documents, "doc", "text", "removed")
     marks = gone.select(F.col("doc_id").alias(d), F.col("text_key").alias(t), F.col("removed").alias(r))
+    # A sort-merge join at any size, so that disk and time grow evenly with the input.
     joined = documents.join(
-        marks, F.col("doc_id").eqNullSafe(F.col(d)) & (text_key(F.col("text")) == F.col(t)), "left"
+        marks.hint("merge"), F.col("doc_id").eqNullSafe(F.col(d)) & (text_key(F.col("text")) == F.col(t)), "left"
     )
     kept = F.when(F.col(r).isNull(), F.col("text")).otherwise(_kept_text(F.col("text"), F.col(r)))
     if counts:

@@ -177,5 +177,5 @@ def keep_first(
     (kept,) = fresh(documents, "kept")
     first = first.withColumnRenamed("doc_id", kept)
     named = documents.where(F.col("doc_id").isNotNull())
-    survivors = named.join(first, F.col("doc_id") == F.col(kept), "left_semi").dropDuplicates(["doc_id"])
+    survivors = named.join(first.hint("merge"), F.col("doc_id") == F.col(kept), "left_semi").dropDuplicates(["doc_id"])
     return survivors.unionByName(documents.where(F.col("doc_id").isNull()))
