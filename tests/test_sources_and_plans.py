@@ -253,3 +253,19 @@ def test_basic_features(tables):
     assert row.inv_annual_usage == pytest.approx(1 / 11) and row.has_boss == 1 and row.day == 15
     assert "base_RareNameType" not in df.columns and "material_id" not in df.columns
     assert {"end_a_bucket_EF-0", "name_NUT-FLARED", "total_specs"} <= set(df.columns)
+
+
+def test_csv_quotes_as_other_tools_write_them(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v\n1,"say ""hi"", x"\n2,back\\slash\\\n')
+    rows = read_csv_table(spark, str(tmp_path / "a.csv"), "k int, v string").orderBy("k").collect()
+    assert [r.v for r in rows] == ['say "hi", x', "back\\slash\\"]
+    write_csv_table(spark.createDataFrame(rows), str(tmp_path / "out"))
+    again = read_csv_table(spark, str(tmp_path / "out"), "k int, v string").orderBy("k").collect()
+    assert [tuple(r) for r in again] == [tuple(r) for r in rows]
+
+
+def test_csv_files_with_another_header_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("c,length,weight\nA,1,2\n")
+    (tmp_path / "b.csv").write_text("c,weight,length\nB,1,2\n")
+    with pytest.raises(Exception, match="(?i)header|schema"):
+        read_csv_table(spark, str(tmp_path), "c string, length double, weight double").collect()
