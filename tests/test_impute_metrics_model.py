@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from conftest import values
+from helpers import values
 from featloom.operators import impute, metrics, model, split
 from featloom.operators.impute import RegressionStep
 

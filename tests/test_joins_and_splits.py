@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from helpers import values
 from featloom.operators import split
 from featloom.operators.joins import (
     HOT_KEYS,

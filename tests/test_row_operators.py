@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from helpers import values
 from featloom.functions import scalars
 from featloom.functions.columns import (
     by_name,

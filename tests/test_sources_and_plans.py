@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import values
+from helpers import values
 from featloom.functions.columns import by_name
 from featloom.operators import model
 from featloom.plans import assemblies, basic_quotes, quotes
