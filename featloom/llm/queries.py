@@ -11,6 +11,7 @@ from featloom.llm import (
     language,
     line_dedup,
     mixing,
+    periodic_runs,
     quality,
     secrets,
     simhash,
@@ -66,12 +67,17 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.summary(table(spark, folder, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return periodic_runs.digests(periodic_runs.collapse(documents, rewrite=periodic_runs.loop_tenth))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_url_filter, op2_secret_scan, op3_language, op4_html_text, op5_simhash, op6_substring_dedup,
         op7_source_mix, op8_decontamination,
-        op9_quality, op10_line_dedup,
+        op9_quality, op10_line_dedup, op11_periodic_runs,
     )
 }
 ORACLES = {
