@@ -10,6 +10,7 @@ from featloom.llm import (
     html_text,
     language,
     line_dedup,
+    minhash,
     mixing,
     periodic_runs,
     quality,
@@ -72,12 +73,17 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.collapse(documents, rewrite=periodic_runs.loop_tenth))
 
 
+def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = minhash.group(table(spark, folder, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_url_filter, op2_secret_scan, op3_language, op4_html_text, op5_simhash, op6_substring_dedup,
         op7_source_mix, op8_decontamination,
-        op9_quality, op10_line_dedup, op11_periodic_runs,
+        op9_quality, op10_line_dedup, op11_periodic_runs, op12_minhash,
     )
 }
 ORACLES = {
