@@ -13,6 +13,7 @@ from featloom.llm import (
     minhash,
     mixing,
     periodic_runs,
+    phrases,
     quality,
     secrets,
     simhash,
@@ -78,12 +79,16 @@ def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.mine(table(spark, folder, "documents"))
+
+
 QUERIES = {
     q.__name__: q
     for q in (
         op1_url_filter, op2_secret_scan, op3_language, op4_html_text, op5_simhash, op6_substring_dedup,
         op7_source_mix, op8_decontamination,
-        op9_quality, op10_line_dedup, op11_periodic_runs, op12_minhash,
+        op9_quality, op10_line_dedup, op11_periodic_runs, op12_minhash, op13_phrases,
     )
 }
 ORACLES = {
@@ -91,4 +96,5 @@ ORACLES = {
     "op7_source_mix": mixing.MIX_SQL,
     "op8_decontamination": decontaminate.DECONTAMINATION_SQL,
     "op10_line_dedup": line_dedup.LINE_SQL,
+    "op13_phrases": phrases.PHRASES_SQL,
 }
