@@ -38,7 +38,8 @@ from featloom.session import materialize
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
+    # A quote only holds a value together if it follows the equals sign.
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9-]*)((?:=\s*(?:\"[^\"]*\"|'[^']*')|[^>=]+|=)*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 # Elements that flow inside a line; all others begin and end one.
@@ -55,8 +56,8 @@ _FRAME_NAME = re.compile(
     r"related|recommend\w*|comment\w*|disqus|replies|form)(?=$|[\s_-])",
     re.I,
 )
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert)", re.I)
+_NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ROLES = re.compile(r"(?<![\w-])role\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|dialog|alert)", re.I)
 
 FREE, ARTICLE, FRAME = 0, 1, 2
 BREAKS_P = frozenset(
@@ -75,6 +76,9 @@ def _is_frame(name: str, attributes: str, in_article: bool) -> bool:
     if _ROLES.search(attributes):
         return True
     values = (a or b or c for a, b, c in _NAMED.findall(attributes))
+    if in_article:
+        # There a name must say it whole: a section-header heads a part of the article.
+        return any(_FRAME_NAME.fullmatch(word) for v in values for word in v.split())
     return any(_FRAME_NAME.search(v) for v in values)
 
 

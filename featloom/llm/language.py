@@ -35,7 +35,15 @@ UNKNOWN = "und"
 # Texts scored below this are of no language that was learned.
 LEAST_SCORE = 0.05
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+def letter_words(text: str) -> list[str]:
+    """Runs of letters; other signs that count as parts of words (as in x\u00b2) are left out."""
+    words = _WORDS.findall(text.lower())
+    if not "".join(words).isalpha():
+        words = ["".join(filter(str.isalpha, w)) for w in words]
+    return [w for w in words if w]
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +52,7 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     Words are runs of letters in lower case with a space on either side.  Code points
     take 21 bits each, so n-grams of different lengths cannot be equal.
     """
-    words = _LETTERS.findall(text.lower()) if text else []
+    words = letter_words(text) if text else []
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     spaced = f" {' '.join(words)} "

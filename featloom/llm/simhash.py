@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featloom.llm.common import fresh
+from featloom.llm.common import fresh, text_key
+from featloom.llm.url_filter import may_contain
 from featloom.session import materialize
 
 SHINGLE = 3
@@ -60,8 +61,9 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp) in Arrow batches; the fingerprint as a signed 64-bit number."""
-    narrow = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """(doc_id, text_key, fp) in Arrow batches; the fingerprint as a signed 64-bit number."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    narrow = documents.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
 
     def work(batches):
         for batch in batches:
@@ -69,9 +71,11 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE, seed: int = SEED)
             prints = np.fromiter(
                 (fingerprint(t.as_py(), shingle, seed) for t in texts), np.uint64, len(texts)
             )
-            yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.record_batch(
+                [batch.column(0), batch.column(2), pa.array(prints.view(np.int64))], ["doc_id", "text_key", "fp"]
+            )
 
-    return narrow.mapInArrow(work, "doc_id bigint, fp bigint")
+    return narrow.mapInArrow(work, f"doc_id {kind}, text_key bigint, fp bigint")
 
 
 def _byte(fp: Column, position: int) -> Column:
@@ -148,7 +152,7 @@ def components(prints: DataFrame, edges: DataFrame) -> DataFrame:
 def group(
     documents: DataFrame, shingle: int = SHINGLE, bits: int = BITS, seed: int = SEED
 ) -> DataFrame:
-    """(doc_id, fp, root, component_id), one row per document."""
+    """(doc_id, text_key, fp, root, component_id), one row per document."""
     members = materialize(fingerprints(documents, shingle, seed), "simhash-prints")
     # Counted with a partial sum, so that a hot fingerprint is one row per task.
     distinct = materialize(
@@ -161,21 +165,36 @@ def group(
         .groupBy("root").agg(F.min("least").alias("component_id"))
     )
     by_print = roots.join(named, "root")
-    return members.join(by_print, "fp").select("doc_id", "fp", "root", "component_id")
+    return members.join(by_print, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def keep_first(
     documents: DataFrame, shingle: int = SHINGLE, bits: int = BITS, seed: int = SEED
 ) -> DataFrame:
-    """Of each group the document with the least id, with all columns; rows that repeat
-    its id are one document, and rows without an id stay as they are."""
-    groups = group(documents, shingle, bits, seed)
-    first = materialize(
-        groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(),
-        "simhash-kept",
+    """Of each group one row, with all columns: the least id, of rows that share it the one
+    of least text key.  Rows alike in both are one document.  Rows without an id stay as
+    they are, but a group keeps a row with an id if it has one.
+
+    Only rows of groups of two or more are moved: a bounded Bloom test tells which they may
+    be, and the others stay where they are.
+    """
+    named = group(documents, shingle, bits, seed).where(F.col("doc_id").isNotNull())
+    at = F.struct("doc_id", "text_key")
+    groups = named.groupBy("root").agg(F.count(F.lit(1)).alias("rows"), F.min(at).alias("first"))
+    several = groups.where("rows > 1").withColumnRenamed("root", "r")
+    marks = materialize(
+        named.join(several, F.col("root") == F.col("r"))
+        .select("doc_id", "text_key", (F.col("first") == at).alias("kept")).distinct(),
+        "simhash-marks",
     )
-    (kept,) = fresh(documents, "kept")
-    first = first.withColumnRenamed("doc_id", kept)
-    named = documents.where(F.col("doc_id").isNotNull())
-    survivors = named.join(first.hint("merge"), F.col("doc_id") == F.col(kept), "left_semi").dropDuplicates(["doc_id"])
-    return survivors.unionByName(documents.where(F.col("doc_id").isNull()))
+    key, mark, i, t = fresh(documents, "text_key", "kept", "mark_id", "mark_key")
+    label = lambda a, b: F.concat_ws(":", F.col(a).cast("string"), F.col(b).cast("string"))
+    keyed = documents.withColumn(key, text_key(F.col("text")))
+    marked = F.coalesce(may_contain(marks.select(label("doc_id", "text_key").alias("key")), label("doc_id", key)), F.lit(False))
+    marked = marked & F.col("doc_id").isNotNull()
+    marks = marks.select(F.col("doc_id").alias(i), F.col("text_key").alias(t), F.col("kept").alias(mark))
+    judged = keyed.where(marked).join(marks, (F.col("doc_id") == F.col(i)) & (F.col(key) == F.col(t)), "left")
+    rest = judged.where(F.col(mark).isNull())
+    first = judged.where(F.col(mark)).dropDuplicates(["doc_id", key])
+    whole = [F.col(f"`{c}`") for c in documents.columns]
+    return keyed.where(~marked).select(*whole).union(rest.select(*whole)).union(first.select(*whole))
