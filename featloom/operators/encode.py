@@ -6,7 +6,7 @@ expressions to any table, so train and test get the same columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -70,6 +70,23 @@ class Vocabulary:
             return kept
         return kept.when(column.isNotNull(), F.lit(self.rare_label))
 
+    def matches(self, column: str, null_values: Sequence = ()) -> list[Column]:
+        """0 or 1 for each label, in the order of ``labels``; never null.
+
+        A label is compared with the column itself and the list of values is written out
+        once, for the rare label, so the expressions grow with the values, not their square.
+        """
+        name = f"`{column.replace('`', '``')}`"
+        if all(isinstance(v, str) for v in self.values):
+            found = [F.expr(f"coalesce(cast({name} = {_text_literal(v)} as int), 0)") for v in self.values]
+        else:
+            found = [F.coalesce((by_name(column) == v).cast("int"), F.lit(0)) for v in self.values]
+        if self.rare_label is None:
+            return found
+        value = null_if_in(by_name(column), null_values) if null_values else by_name(column)
+        rare = value.isNotNull() & self.bucket(column).eqNullSafe(F.lit(self.rare_label))
+        return [*found, rare.cast("int")]
+
 
 def _text_literal(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -110,6 +127,76 @@ def fit_column_vocab(
     return fit_vocab(counts, cutoff, rare_label, max_values=max_values)
 
 
+@dataclass(frozen=True)
+class VocabularySpec:
+    """A vocabulary to fit: columns counted together, and where to cut."""
+
+    columns: tuple[str, ...]
+    cutoff: int = 1
+    rare_label: str | None = None
+    null_values: tuple = ()
+
+
+def frequent_values(df: DataFrame, specs: Mapping[str, VocabularySpec]) -> DataFrame:
+    """(name, value, n): the frequent values of all vocabularies, counted exactly in one scan.
+
+    A cell gives one row for each vocabulary that counts its column; equal cells are added
+    up before the one exchange.  Columns must be text.
+    """
+    odd = sorted({c for s in specs.values() for c in s.columns if dict(df.dtypes)[c] != "string"})
+    if odd:
+        raise ValueError(f"not text: {odd}")
+    cells = [
+        F.struct(F.lit(name).alias("name"), by_name(c).alias("value"))
+        for name, spec in specs.items() for c in spec.columns
+    ]
+    counts = (
+        df.select(F.inline(F.array(*cells))).where(F.col("value").isNotNull())
+        .groupBy("name", "value").agg(F.count(F.lit(1)).alias("n"))
+    )
+    kept = F.lit(False)
+    for name, spec in specs.items():
+        fits = (F.col("name") == name) & (F.col("n") >= spec.cutoff)
+        if spec.null_values:
+            fits = fits & ~F.col("value").isin(*spec.null_values)
+        kept = kept | fits
+    return counts.where(kept)
+
+
+def fit_vocabularies(
+    df: DataFrame, specs: Mapping[str, VocabularySpec], max_values: int = MAX_VALUES
+) -> dict[str, Vocabulary]:
+    """All vocabularies of a table in one job; each at most ``max_values`` long, or none is made."""
+    found: dict[str, list] = {name: [] for name in specs}
+    for row in frequent_values(df, specs).limit(max_values * len(specs) + 1).collect():
+        found[row.name].append(row.value)
+    for name, values in found.items():
+        if len(values) > max_values:
+            raise ValueError(f"{name}: more than {max_values} frequent values: raise the cutoff")
+    return {
+        name: Vocabulary(tuple(sorted(values)), specs[name].rare_label if specs[name].cutoff > 1 else None)
+        for name, values in found.items()
+    }
+
+
+def fold_counts(df: DataFrame, column: str, folds: int, fold: str = "fold") -> DataFrame:
+    """(pair, side, value, n): how often each side of each pair of folds has a value.
+
+    The column is counted once, by fold.  Side ``first`` of pair i is folds 0 and i;
+    ``second`` is what the total leaves, rows without a fold among it.
+    """
+    by_fold = df.where(by_name(column).isNotNull()).groupBy(by_name(column).alias("value")).agg(
+        F.count(F.lit(1)).alias("total"),
+        *[F.count(F.when(by_name(fold) == i, 1)).alias(f"n{i}") for i in range(folds)],
+    )
+    first = [F.col("n0") + F.col(f"n{i}") for i in range(1, folds)]
+    sides = [
+        F.struct(F.lit(i).alias("pair"), F.lit(side).alias("side"), n.alias("n"))
+        for i, f in enumerate(first, 1) for side, n in (("first", f), ("second", F.col("total") - f))
+    ]
+    return by_fold.select("value", F.inline(F.array(*sides))).where("n > 0").select("pair", "side", "value", "n")
+
+
 def bucket_rare(
     df: DataFrame,
     columns: str | Sequence[str],

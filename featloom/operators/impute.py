@@ -3,6 +3,11 @@
 A fit is one aggregation: counts, means and covariances combine on the map side
 and one row reaches the driver, whose k equations are solved there (k is the
 number of predictors).  The prediction is a column expression.
+
+A chain of fits, each of which sees what the ones before have filled, is one aggregation
+too (``impute_chain_one_pass``): moments are taken once for each pattern of missing
+columns.  Within a pattern a fill is a linear map of columns that are there, so the
+moments after it follow from those before, without the rows.
 """
 
 from __future__ import annotations
@@ -75,15 +80,19 @@ def fit_linear(
         scatter[i, j] = scatter[j, i] = row[f"s{i}_{j}"] * n
     for i in range(k):
         moment[i] = row[f"c{i}"] * n
-    penalty = np.diag(scatter) if normalize else np.ones(k)
+    means = np.array([row[f"m{i}"] for i in range(k)])
+    return _solve(predictors, scatter, moment, means, row["my"], n, alpha, normalize)
+
+
+def _solve(
+    predictors: Sequence[str], scatter: np.ndarray, moment: np.ndarray, means: np.ndarray, mean: float,
+    rows: int, alpha: float, normalize: bool,
+) -> LinearFit:
+    penalty = np.diag(scatter) if normalize else np.ones(len(scatter))
     # Least squares, so that a constant predictor gets weight 0 instead of failing.
     weights = np.linalg.lstsq(scatter + alpha * np.diag(penalty), moment, rcond=None)[0]
-    means = np.array([row[f"m{i}"] for i in range(k)])
     return LinearFit(
-        tuple(predictors),
-        tuple(float(w) for w in weights),
-        float(row["my"] - weights @ means),
-        n,
+        tuple(predictors), tuple(float(w) for w in weights), float(mean - weights @ means), rows
     )
 
 
@@ -139,6 +148,22 @@ class RegressionStep:
     missing_value: float | None = None
     ignored_value: float | None = None
 
+    def fill(self, df: DataFrame, fit: LinearFit | None) -> DataFrame:
+        """Missing targets replaced by the predictions of a fit; none, if there was no row to fit."""
+        if fit is None:
+            return df
+        y = by_name(self.target)
+        absent = y.isNull()
+        if self.missing_value is not None:
+            absent = absent | F.coalesce(y == self.missing_value, F.lit(False))
+        predicted = fit.predict({c: F.cbrt(by_name(c)) for c in self.cube_root_inputs})
+        if self.log_target:
+            predicted = F.exp(predicted)
+        filled = F.when(absent, predicted).otherwise(y.cast("double"))
+        return df.select(
+            *[filled.alias(self.target) if n == self.target else by_name(n) for n in df.columns]
+        )
+
     def apply(self, df: DataFrame) -> DataFrame:
         y = by_name(self.target)
         return impute_regression(
@@ -154,3 +179,132 @@ def impute_chain(df: DataFrame, steps: Sequence[RegressionStep]) -> DataFrame:
     for step in steps:
         df = step.apply(df)
     return df
+
+
+@dataclass
+class _Pattern:
+    """Moments of the rows that lack the same columns; those of a missing column are not used."""
+
+    rows: int
+    known: np.ndarray
+    ignored: np.ndarray
+    means: np.ndarray
+    scatter: np.ndarray
+
+    def fill(self, place: int, sources: list[int], fit: LinearFit) -> None:
+        """The missing column becomes the prediction from columns that are there."""
+        self.known[place] = True
+        weights = np.zeros(len(self.means))
+        weights[sources] = fit.weights
+        self.means[place] = fit.intercept + weights @ self.means
+        self.scatter[place, :] = weights @ self.scatter
+        self.scatter[:, place] = self.scatter[place, :]
+        self.scatter[place, place] = weights @ self.scatter[:, place]
+
+
+def chain_moments(df: DataFrame, steps: Sequence[RegressionStep]) -> tuple[list[str], list[_Pattern]]:
+    """Names of the columns of a chain, and their moments by pattern of missing values.
+
+    One aggregation; at most two to the number of columns rows reach the driver.
+    """
+    inputs: dict[str, Column] = {}
+    for step in steps:
+        for c in step.predictors:
+            if c in step.cube_root_inputs:
+                inputs.setdefault(_cube(c), F.cbrt(by_name(c).cast("double")))
+            else:
+                inputs.setdefault(c, by_name(c).cast("double"))
+        y = by_name(step.target)
+        if step.missing_value is not None:
+            y = F.when(y != step.missing_value, y)
+        if step.log_target:
+            inputs[_log(step.target)] = F.log(y.cast("double"))
+        else:
+            inputs[step.target] = y.cast("double")
+    names = list(inputs)
+    columns = [f"c{i}" for i in range(len(names))]
+    ignored = [
+        F.lit(False) if s.ignored_value is None
+        else F.coalesce(by_name(s.target) == s.ignored_value, F.lit(False)) for s in steps
+    ]
+    flags = lambda marks: F.concat(*[m.cast("int").cast("string") for m in marks])
+    data = df.select(
+        flags([inputs[n].isNotNull() for n in names]).alias("known"), flags(ignored).alias("ignored"),
+        *[inputs[n].alias(c) for n, c in zip(names, columns)],
+    )
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    table = data.groupBy("known", "ignored").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.covar_pop(columns[i], columns[j]).alias(f"s{i}_{j}") for i, j in pairs],
+    )
+    patterns = []
+    for row in table.collect():
+        scatter = np.zeros((len(names), len(names)))
+        for i, j in pairs:
+            scatter[i, j] = scatter[j, i] = (row[f"s{i}_{j}"] or 0.0) * row["rows"]
+        patterns.append(_Pattern(
+            row["rows"], np.array([k == "1" for k in row["known"]]), np.array([k == "1" for k in row["ignored"]]),
+            np.array([row[f"m{i}"] or 0.0 for i in range(len(names))]), scatter,
+        ))
+    return names, patterns
+
+
+def _cube(name: str) -> str:
+    return f"cube root of {name}"
+
+
+def _log(name: str) -> str:
+    return f"logarithm of {name}"
+
+
+def fit_chain(df: DataFrame, steps: Sequence[RegressionStep]) -> list[LinearFit | None]:
+    """The fits that the steps would make one after the other, from one pass over the rows."""
+    _require_linear(steps)
+    names, patterns = chain_moments(df, steps)
+    fits = []
+    for number, step in enumerate(steps):
+        target = names.index(_log(step.target) if step.log_target else step.target)
+        sources = [names.index(_cube(c) if c in step.cube_root_inputs else c) for c in step.predictors]
+        ready = [p for p in patterns if p.known[sources].all()]
+        used = [p for p in ready if p.known[target] and not p.ignored[number]]
+        rows = sum(p.rows for p in used)
+        if not rows:
+            fits.append(None)
+            continue
+        of = [*sources, target]
+        means = sum(p.rows * p.means[of] for p in used) / rows
+        scatter = sum(
+            p.scatter[np.ix_(of, of)] + p.rows * np.outer(p.means[of] - means, p.means[of] - means) for p in used
+        )
+        k = len(sources)
+        fit = _solve(
+            step.predictors, scatter[:k, :k], scatter[:k, k], means[:k], means[k], rows, step.alpha, step.normalize
+        )
+        fits.append(fit)
+        for p in ready:
+            if not p.known[target]:
+                p.fill(target, sources, fit)
+    return fits
+
+
+def _require_linear(steps: Sequence[RegressionStep]) -> None:
+    """A column filled on another scale, or twice, is no linear map of the columns before."""
+    bent: set[str] = set()
+    filled: set[str] = set()
+    for step in steps:
+        if bent & set(step.predictors) or filled & set(step.cube_root_inputs) or step.target in filled:
+            raise ValueError(f"{step.target} needs a pass of its own")
+        if any(later.missing_value is not None and later.target in step.predictors for later in steps):
+            raise ValueError("a sentinel cannot be a predictor of the chain that replaces it")
+        filled.add(step.target)
+        if step.log_target:
+            bent.add(step.target)
+
+
+def impute_chain_one_pass(df: DataFrame, steps: Sequence[RegressionStep]) -> DataFrame:
+    """As :func:`impute_chain`, with one job for the whole chain."""
+    if not steps:
+        return df
+    for step, fit in zip(steps, fit_chain(df, steps)):
+        df = step.fill(df, fit)
+    return df

@@ -24,11 +24,11 @@ from featloom.functions.scalars import (
 )
 from featloom.operators.clean import null_if_in
 from featloom.operators.encode import (
+    MAX_VALUES,
     Vocabulary,
     distribution,
     fit_column_vocab,
     fit_vocab,
-    indicators,
 )
 from featloom.operators.joins import attach
 from featloom.operators.reshape import pivot_sum, pool_attribute, unpivot
@@ -61,14 +61,14 @@ def multi_hot(
     )
 
 
-def row_multi_hot(columns: Sequence[str], labels: Iterable, bucket=None, prefix: str = "") -> list[Column]:
+def row_multi_hot(
+    columns: Sequence[str], vocab: Vocabulary, prefix: str = "", null_values: Sequence = ()
+) -> list[Column]:
     """The same counts across columns of one row: no shuffle, for tables unique by key."""
-    values = [by_name(c) if bucket is None else bucket(by_name(c)) for c in columns]
+    by_column = [vocab.matches(c, null_values) for c in columns]
     return [
-        functools.reduce(
-            operator.add, [F.coalesce((v == label).cast("int"), F.lit(0)) for v in values]
-        ).alias(f"{prefix}{label}")
-        for label in labels
+        functools.reduce(operator.add, cells).alias(f"{prefix}{label}")
+        for label, cells in zip(vocab.labels, zip(*by_column))
     ]
 
 
@@ -97,14 +97,16 @@ def named_components(
     name: str = "name",
     base: bool = False,
     prefix: str = "",
+    vocab: Vocabulary | None = None,
+    max_values: int = MAX_VALUES,
 ) -> tuple[DataFrame, Vocabulary]:
     """One-hot names (or leading tokens of names), one row per component."""
     value = leading_token(by_name(name)) if base else by_name(name)
     named = components.select(by_name(component_id), value.alias("__name"))
-    vocab = fit_column_vocab(named, "__name", cutoff, rare_label)
-    bucketed = named.withColumn("__name", vocab.bucket("__name"))
-    hot = indicators(F.col("__name"), vocab.labels, prefix)
-    return bucketed.select(by_name(component_id), *hot), vocab
+    if vocab is None:
+        vocab = fit_column_vocab(named, "__name", cutoff, rare_label, max_values)
+    hot = [m.alias(f"{prefix}{label}") for label, m in zip(vocab.labels, vocab.matches("__name"))]
+    return named.select(by_name(component_id), *hot), vocab
 
 
 def pooled_components(
@@ -113,13 +115,14 @@ def pooled_components(
     rare_label: str,
     component_id: str = "component_id",
     prefix: str = "",
+    max_values: int = MAX_VALUES,
 ) -> tuple[DataFrame, Vocabulary]:
     """Counts of an attribute pooled over sibling tables, one row per component.
 
     The fan-out side is aggregated here, before any join to the slots.
     """
     long = pool_attribute(sources, component_id, "__value")
-    vocab = fit_vocab(distribution(long, "__value"), cutoff, rare_label)
+    vocab = fit_vocab(distribution(long, "__value"), cutoff, rare_label, max_values=max_values)
     bucketed = long.withColumn("__value", vocab.bucket("__value"))
     return multi_hot(bucketed, component_id, "__value", vocab.labels, prefix), vocab
 
@@ -236,19 +239,20 @@ def spec_counts(
     rare_label: str = "RareSpec",
     unique_key: bool = True,
     prefix: str = "",
+    max_values: int = MAX_VALUES,
 ) -> DataFrame:
     """``has_specs`` and the count of every frequent code; rare codes and the total are left out.
 
     With one row per key the counts are row-local.  Otherwise they are grouped
     and joined back to every row of the key.
     """
-    vocab = fit_column_vocab(specs, columns, cutoff, rare_label)
+    vocab = fit_column_vocab(specs, columns, cutoff, rare_label, max_values)
     codes = vocab.values
     require_unique([key, "has_specs", *[f"{prefix}{code}" for code in codes]])
     has_specs = is_positive(row_count_non_null(columns)).alias("has_specs")
     kept = [by_name(c) for c in specs.columns if c not in columns]
     if unique_key:
-        return specs.select(*kept, has_specs, *row_multi_hot(columns, codes, prefix=prefix))
+        return specs.select(*kept, has_specs, *row_multi_hot(columns, Vocabulary(codes), prefix))
     grouped = multi_hot(unpivot(specs, key, columns, "__code"), key, "__code", codes, prefix)
     return attach(specs.select(*kept, has_specs), grouped, key, hot_from=specs)
 
@@ -263,9 +267,11 @@ def end_counts(
     drop: bool = True,
     prefix: str = "",
     null_values: Sequence[str] = (),
+    vocab: Vocabulary | None = None,
 ) -> DataFrame:
     """Counts of end codes over the end columns, added to each row."""
-    vocab = fit_column_vocab(tubes, columns, cutoff, rare_label, null_values=null_values)
+    if vocab is None:
+        vocab = fit_column_vocab(tubes, columns, cutoff, rare_label, null_values=null_values)
 
     def bucket(value: Column) -> Column:
         return vocab.bucket(null_if_in(value, null_values) if null_values else value)
@@ -274,9 +280,7 @@ def end_counts(
     require_unique([*kept, *[f"{prefix}{label}" for label in vocab.labels]])
     kept_columns = [by_name(c) for c in kept]
     if unique_key:
-        return tubes.select(
-            *kept_columns, *row_multi_hot(columns, vocab.labels, bucket, prefix)
-        )
+        return tubes.select(*kept_columns, *row_multi_hot(columns, vocab, prefix, null_values))
     long = unpivot(tubes, key, columns, "__end")
     long = long.withColumn("__end", bucket(F.col("__end")))
     grouped = multi_hot(long, key, "__end", vocab.labels, prefix)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from featloom.functions.columns import as_list, by_name
 from featloom.functions.scalars import round_share
 from featloom.operators.joins import attach
-from featloom.session import checkpoint_dir
+from featloom.session import materialize
 
 # Hex digits of the hash that name a bucket: 4096 buckets.  Add one per 16-fold
 # growth of the number of groups beyond about 10^10.
@@ -70,35 +70,20 @@ def _running(groups: DataFrame, offsets: DataFrame, label: str) -> DataFrame:
     )
 
 
-def _quota_ends(groups: DataFrame, running: DataFrame, share: float, folds: int) -> list[int]:
-    """Row counts at which the folds but the last close.
+def _quota_ends(running: DataFrame, share: float, folds: int) -> list[Column]:
+    """Row counts at which the folds but the last close, as expressions; null where none does.
 
-    A fold closes with the group that brings it to the quota, and the next one
-    starts counting from 0.  Each end is looked up inside the one bucket that
-    contains it; only bucket totals and single numbers reach the driver.
+    A fold closes with the group that brings it to the quota, and the next one starts
+    counting from 0, so each end is the least running count that reaches the end before
+    plus the quota.  They are scalar subqueries, one inside the other: the numbers never
+    come to the driver and no job runs for them alone.
     """
-    sizes = sorted(
-        (row["__bucket"], row["n"])
-        for row in groups.groupBy("__bucket").agg(F.sum("__rows").alias("n")).collect()
-    )
-    total = sum(n for _, n in sizes)
-    quota = round(total * share)
-    ends: list[int] = []
-    start = 0
+    quota = round_share(F.col("__total"), share)
+    ends: list[Column] = []
+    start: Column = F.lit(0)
     for _ in range(folds - 1):
-        target, seen, home = start + quota, 0, None
-        for bucket, n in sizes:
-            seen += n
-            if seen >= target:
-                home = bucket
-                break
-        if home is None:
-            break
-        start = (
-            running.where((F.col("__bucket") == home) & (F.col("__upto") >= target))
-            .agg(F.min("__upto"))
-            .first()[0]
-        )
+        reached = F.when(F.col("__upto") >= start + quota, F.col("__upto"))
+        start = running.agg(F.min(reached).alias("__end")).scalar()
         ends.append(start)
     return ends
 
@@ -115,19 +100,18 @@ def group_folds(
     """Number the folds; all rows of a group share one.
 
     ``reset``: a fold takes groups until it holds its quota of rows, then the
-    next starts from 0; the last takes the rest.  The group counts are
-    checkpointed, as each end depends on the one before.  ``carry``: a group
+    next starts from 0; the last takes the rest.  The running counts of the groups
+    are written out, as each end is looked up in them.  ``carry``: a group
     goes to the fold in which its first row falls, so an overfull fold shortens
     the next; one lazy pass.  A null label gets a null fold.
     """
     folds = math.floor(1 / base_split)
     if rule == "reset":
-        checkpoint_dir(df.sparkSession)
-        groups = _counted_groups(df, label, seed, digits).checkpoint()
-        running = _running(groups, _bucket_offsets(groups), label)
+        groups = _counted_groups(df, label, seed, digits)
+        running = materialize(_running(groups, _bucket_offsets(groups), label), "running")
         number: Column = F.lit(0)
-        for end in _quota_ends(groups, running, base_split, folds):
-            number = number + (F.col("__before") >= end).cast("int")
+        for end in _quota_ends(running, base_split, folds):
+            number = number + F.coalesce((F.col("__before") >= end).cast("int"), F.lit(0))
     elif rule == "carry":
         groups = _counted_groups(df, label, seed, digits)
         running = _running(groups, _bucket_offsets(groups), label)

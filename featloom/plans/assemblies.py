@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 from featloom.functions.columns import by_name
 from featloom.functions.scalars import wall_volume
 from featloom.operators.clean import decode_flag, keep_below, replace_sentinel
-from featloom.operators.encode import fit_column_vocab, one_hot
+from featloom.operators.encode import (
+    MAX_VALUES,
+    VocabularySpec,
+    fit_column_vocab,
+    fit_vocabularies,
+    one_hot,
+)
 from featloom.operators.joins import attach, attach_roles
 from featloom.operators.reshape import unpivot_groups
 from featloom.operators.rollup import (
@@ -49,6 +55,8 @@ class Cutoffs:
     base_name: int = 1000
     connection: int = 100
     end_form: int = 100
+    # Not fixed: the longest list that may become columns; longer ones are refused.
+    max_values: int = MAX_VALUES
 
 
 def usable_tubes(tubes: DataFrame, max_length: float = 9999) -> DataFrame:
@@ -67,7 +75,11 @@ def tube_features(
 ) -> DataFrame:
     """Usable tubes: material and end indicators, flags, volume, forming of both ends."""
     tubes = usable_tubes(tubes, max_length)
-    materials = fit_column_vocab(tubes, "material_id", cutoffs.material, "RareMaterial")
+    vocabs = fit_vocabularies(tubes, {
+        "material": VocabularySpec(("material_id",), cutoffs.material, "RareMaterial"),
+        "end": VocabularySpec(("end_a", "end_x"), cutoffs.end, "RareEnd"),
+    }, cutoffs.max_values)
+    materials = vocabs["material"]
     tubes = tubes.withColumns({
         "material_id": materials.bucket("material_id"),
         "bend_radius": replace_sentinel(by_name("bend_radius"), bend_default),
@@ -84,7 +96,7 @@ def tube_features(
     )
     tubes = end_counts(
         tubes, key, ("end_a", "end_x"), cutoffs.end, "RareEnd", unique_key=unique_key,
-        prefix="end_",
+        prefix="end_", vocab=vocabs["end"],
     )
     return tubes.drop("num_bracket")
 
@@ -116,14 +128,16 @@ def component_table(
     """Everything known of a component in one row: names, connections, ends, attributes."""
     pooled = [
         lambda: named_components(
-            tables["components"], cutoffs.base_name, "RareBaseName", base=True, prefix="base_"
+            tables["components"], cutoffs.base_name, "RareBaseName", base=True, prefix="base_",
+            max_values=cutoffs.max_values,
         )[0],
         lambda: pooled_components(
             connection_sources(tables), cutoffs.connection, "RareConnection",
-            prefix="connection_",
+            prefix="connection_", max_values=cutoffs.max_values,
         )[0],
         lambda: pooled_components(
-            end_form_sources(tables), cutoffs.end_form, "RareEndForm", prefix="end_form_"
+            end_form_sources(tables), cutoffs.end_form, "RareEndForm", prefix="end_form_",
+            max_values=cutoffs.max_values,
         )[0],
     ]
     prepared = [
@@ -148,7 +162,7 @@ def bill_features(
     """Bill of materials to one row per assembly, by one join and one aggregation."""
     vocab, table = in_parallel([
         lambda: fit_column_vocab(
-            bill, COMPONENT_SLOTS["component"], cutoffs.component, "RareComponent"
+            bill, COMPONENT_SLOTS["component"], cutoffs.component, "RareComponent", cutoffs.max_values
         ),
         # Written out, the table has a measured size: Spark broadcasts it to the slots
         # if it is small, and sorts both sides if it is not.
@@ -167,7 +181,7 @@ def assembly_features(
     tubes, specs, bill = in_parallel([
         lambda: tube_features(tables["tube"], tables["tube_end_form"], cutoffs, key=key),
         lambda: spec_counts(
-            tables["specs"], key, SPEC_COLUMNS, cutoffs.spec, prefix="spec_"
+            tables["specs"], key, SPEC_COLUMNS, cutoffs.spec, prefix="spec_", max_values=cutoffs.max_values
         ),
         lambda: bill_features(tables["bill_of_materials"], tables, cutoffs, recipes, key),
     ])

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from featloom.functions.columns import by_name
-from featloom.functions.scalars import date_parts, inverse_plus_one
+from featloom.functions.scalars import date_parts, inverse_plus_one, leading_token
 from featloom.operators.clean import (
     RAISE,
     decode_flag,
@@ -17,9 +17,11 @@ from featloom.operators.clean import (
     zero_fill,
 )
 from featloom.operators.encode import (
+    VocabularySpec,
     bucket_rare,
     distribution,
     fit_column_vocab,
+    fit_vocabularies,
     one_hot,
 )
 from featloom.operators.joins import attach, attach_roles
@@ -60,15 +62,11 @@ def basic_tubes(
     tubes: DataFrame, end_forms: DataFrame, cutoffs: BasicCutoffs = BasicCutoffs()
 ) -> DataFrame:
     """Strict end flags, material and end indicators, pooled end counts, forming of both ends."""
-    vocabs = {
-        "material_id": fit_column_vocab(
-            tubes, "material_id", cutoffs.material, "RareMaterial", null_values=NO_MATERIAL
-        ),
-        **{
-            c: fit_column_vocab(tubes, c, cutoffs.end, "RareEnd", null_values=NO_MATERIAL)
-            for c in ("end_a", "end_x")
-        },
-    }
+    end = lambda *columns: VocabularySpec(columns, cutoffs.end, "RareEnd", NO_MATERIAL)
+    vocabs = fit_vocabularies(tubes, {
+        "material_id": VocabularySpec(("material_id",), cutoffs.material, "RareMaterial", NO_MATERIAL),
+        "end_a": end("end_a"), "end_x": end("end_x"), "both": end("end_a", "end_x"),
+    })
     ends = {c: f"{c}_bucket" for c in ("end_a", "end_x")}
     tubes = tubes.withColumns({
         **{c: decode_flag_strict(by_name(c)) for c in END_FLAGS},
@@ -95,7 +93,7 @@ def basic_tubes(
     })
     return end_counts(
         tubes, KEY, ("end_a", "end_x"), cutoffs.end, "RareEnd", prefix="end_",
-        null_values=NO_MATERIAL,
+        null_values=NO_MATERIAL, vocab=vocabs["both"],
     )
 
 
@@ -107,10 +105,18 @@ def basic_bill(
         bill, COMPONENT_SLOTS["component"], cutoffs.component, "RareComponent",
         null_values=NO_COMPONENT,
     )
+    vocabs = fit_vocabularies(
+        components.select(by_name("name"), leading_token(by_name("name")).alias("base")), {
+            "base": VocabularySpec(("base",), cutoffs.base_name, "RareNameType"),
+            "name": VocabularySpec(("name",), cutoffs.name, "RareComponentName"),
+        },
+    )
     base_names, _ = named_components(
-        components, cutoffs.base_name, "RareNameType", base=True, prefix="base_"
+        components, cutoffs.base_name, "RareNameType", base=True, prefix="base_", vocab=vocabs["base"]
+    )
+    names, _ = named_components(
+        components, cutoffs.name, "RareComponentName", prefix="name_", vocab=vocabs["name"]
     )
-    names, _ = named_components(components, cutoffs.name, "RareComponentName", prefix="name_")
     table = merge_components([base_names.drop("base_RareNameType"), names])
     rolled = bill_rollup(
         bill_slots(bill), table, KEY, vocab, prefix="component_", null_values=NO_COMPONENT

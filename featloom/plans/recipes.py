@@ -19,8 +19,8 @@ from featloom.operators.clean import (
     override_where,
     replace_sentinel,
 )
-from featloom.operators.encode import distribution, fit_vocab, indicators
-from featloom.operators.impute import RegressionStep, impute_chain
+from featloom.operators.encode import VocabularySpec, fit_vocabularies
+from featloom.operators.impute import RegressionStep, impute_chain_one_pass
 
 # Thread pitch (threads per inch) and size (inches) of metric thread codes.
 METRIC_PITCH = {"M6": 25.4, "M8": 20.32, "M10": 16.93, "M12": 14.51}
@@ -116,15 +116,14 @@ class AttributeRecipe:
         if self.metric_threads:
             table = metric_threads(table)
         table = fill_constants(table, self.fills) if self.fills else table
-        table = impute_chain(table, self.regressions)
+        table = impute_chain_one_pass(table, self.regressions)
         measures = [by_name(m).cast("double").alias(f"{m}_{self.suffix}") for m in self.measures]
         flags = [decode_flag(by_name(f)).alias(f"{f}_{self.suffix}") for f in self.flags]
         hot, names = [], []
-        for step in self.one_hots:
-            vocab = fit_vocab(distribution(table, step.column), step.cutoff, step.rare_label)
-            wanted = [f"{step.column}_{label}_{self.suffix}" for label in vocab.labels]
-            values = indicators(vocab.bucket(by_name(step.column)), vocab.labels)
-            hot += [value.alias(name) for value, name in zip(values, wanted)]
+        specs = {s.column: VocabularySpec((s.column,), s.cutoff, s.rare_label) for s in self.one_hots}
+        for column, vocab in (fit_vocabularies(table, specs) if specs else {}).items():
+            wanted = [f"{column}_{label}_{self.suffix}" for label in vocab.labels]
+            hot += [value.alias(name) for value, name in zip(vocab.matches(column), wanted)]
             names += wanted
         require_unique([component_id, *names])
         return table.select(by_name(component_id), *measures, *flags, *hot)
