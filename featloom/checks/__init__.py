@@ -1,6 +1,12 @@
 """Queries over the given tables that exercise every operator, with SQL to compare to."""
 
-from featloom.checks import encode_checks, model_checks, rollup_checks, row_checks  # noqa: F401
+from featloom.checks import (  # noqa: F401
+    encode_checks,
+    matrix_checks,
+    model_checks,
+    rollup_checks,
+    row_checks,
+)
 from featloom.checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -61,8 +61,7 @@ class Vocabulary:
             known = F.lit(False)
         elif isinstance(value, str) and all(isinstance(v, str) for v in self.values):
             # One parsed list instead of a call into the JVM per value.
-            name = value.replace("`", "``")
-            known = F.expr(f"`{name}` in ({', '.join(map(_text_literal, self.values))})")
+            known = F.expr(f"{quoted(value)} in ({', '.join(map(_text_literal, self.values))})")
         else:
             known = column.isin(*self.values)
         kept = F.when(known, column)
@@ -70,22 +69,32 @@ class Vocabulary:
             return kept
         return kept.when(column.isNotNull(), F.lit(self.rare_label))
 
-    def matches(self, column: str, null_values: Sequence = ()) -> list[Column]:
-        """0 or 1 for each label, in the order of ``labels``; never null.
+    def match_sql(self, column: str, null_values: Sequence = ()) -> list[str]:
+        """0 or 1 for each label, in the order of ``labels``, never null, as SQL text.
 
         A label is compared with the column itself and the list of values is written out
-        once, for the rare label, so the expressions grow with the values, not their square.
+        once, for the rare label, so the text grows with the values, not their square.
         """
-        name = f"`{column.replace('`', '``')}`"
-        if all(isinstance(v, str) for v in self.values):
-            found = [F.expr(f"coalesce(cast({name} = {_text_literal(v)} as int), 0)") for v in self.values]
-        else:
-            found = [F.coalesce((by_name(column) == v).cast("int"), F.lit(0)) for v in self.values]
+        name = quoted(column)
+        known = [_literal(v) for v in self.values]
+        found = [f"coalesce(cast({name} = {v} as int), 0)" for v in known]
         if self.rare_label is None:
             return found
-        value = null_if_in(by_name(column), null_values) if null_values else by_name(column)
-        rare = value.isNotNull() & self.bucket(column).eqNullSafe(F.lit(self.rare_label))
-        return [*found, rare.cast("int")]
+        listed = ", ".join([*known, *map(_literal, null_values)])
+        rare = f"{name} is not null" + (f" and {name} not in ({listed})" if listed else "")
+        return [*found, f"cast({rare} as int)"]
+
+    def matches(self, column: str, null_values: Sequence = ()) -> list[Column]:
+        return [F.expr(text) for text in self.match_sql(column, null_values)]
+
+
+def _literal(value) -> str:
+    return _text_literal(value) if isinstance(value, str) else repr(value)
+
+
+def quoted(column: str) -> str:
+    """A column name as SQL writes it."""
+    return f"`{column.replace('`', '``')}`"
 
 
 def _text_literal(text: str) -> str:

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.ml import Model
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from featloom.functions.columns import by_name
-from featloom.operators.metrics import rmsle
-from featloom.session import checkpoint_dir
+from featloom.operators.metrics import cv_scores, rmsle, top_feature_votes
+from featloom.session import checkpoint_dir, materialize, scratch_path
 
 FEATURES = "features"
 DEEP = 10
@@ -102,42 +103,79 @@ def predictions(model: Model, matrix: DataFrame, keep: Sequence[str], cost: str
 
 
 def importances(model: Model, features: Sequence[str]) -> list[tuple[str, float]]:
+    """How much each feature lowers the loss, on the scale of Spark ML."""
     return [(name, float(s)) for name, s in zip(features, model.featureImportances.toArray())]
 
 
+def split_counts(model: Model) -> DataFrame:
+    """(slot, splits): at how many nodes of all trees a slot of the feature vector is split.
+
+    The model is saved to the shared folder and its table of nodes is counted there.
+    """
+    spark = SparkSession.active()
+    path = scratch_path(spark, "model")
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data")
+    # The nodes of a forest are nested beside the number of their tree.
+    split = "nodeData.split" if "nodeData" in nodes.columns else "split"
+    slots = nodes.select(F.col(f"{split}.featureIndex").alias("slot")).where("slot >= 0")
+    return slots.groupBy("slot").agg(F.count(F.lit(1)).alias("splits"))
+
+
+def slot_table(features: Sequence[str]) -> DataFrame:
+    """(slot, label) of plain columns, in their order in the feature vector."""
+    return SparkSession.active().createDataFrame(list(enumerate(features)), "slot int, label string")
+
+
+def named_splits(model: Model, names: Sequence[str] | DataFrame) -> DataFrame:
+    """(feature, score): the number of splits by name; a long list of names is a table (slot, label)."""
+    table = names if isinstance(names, DataFrame) else slot_table(names)
+    return split_counts(model).join(table, "slot").select(
+        F.col("label").alias("feature"), F.col("splits").cast("double").alias("score")
+    )
+
+
 def cross_validate(
     pairs: Iterable[tuple[int, DataFrame, DataFrame]],
-    prepare: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame, list[str]]],
+    prepare: Callable[[int, DataFrame, DataFrame], tuple[DataFrame, DataFrame, Sequence[str] | DataFrame]],
     fit: Callable[[DataFrame], Model],
     cost: str = "cost",
     swap: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Score every pair, and its swap if asked.
 
-    ``prepare(train, test)`` fits encodings on the first and returns both as
+    ``prepare(fold, train, test)`` fits encodings on the first side and returns both as
     matrices with a cost and a feature vector, and the feature names.  Gives the
-    scores (fold, direction, rmsle) and the importances (fold, feature, score);
-    both have a few rows per fold.
+    scores (fold, direction, rmsle) and the importances (fold, feature, score), the
+    score being the number of splits; both have a few rows per fold.
     """
     scores, ranked, spark = [], [], None
     for fold, first, second in pairs:
         spark = first.sparkSession
-        train, test, features = prepare(first, second)
-        train, test = with_log_label(train, cost), with_log_label(test, cost)
-        train.persist(), test.persist()
-        try:
-            directions = [("forward", train, test)] + ([("swapped", test, train)] if swap else [])
-            for direction, a, b in directions:
-                model = fit(a)
-                scored = predictions(model, b, [cost], "predicted")
-                scores.append((fold, direction, rmsle(scored, cost, "predicted").first()[0]))
-                if direction == "forward":
-                    ranked += [(fold, n, s) for n, s in importances(model, features)]
-        finally:
-            train.unpersist(), test.unpersist()
+        train, test, features = prepare(fold, first, second)
+        # Boosting reads its input many times; written out it survives lost executors.
+        train = materialize(with_log_label(train, cost), "fold-train")
+        test = materialize(with_log_label(test, cost), "fold-test")
+        directions = [("forward", train, test)] + ([("swapped", test, train)] if swap else [])
+        for direction, a, b in directions:
+            model = fit(a)
+            scored = predictions(model, b, [cost], "predicted")
+            scores.append((fold, direction, rmsle(scored, cost, "predicted").first()[0]))
+            if direction == "forward":
+                ranked.append(named_splits(model, features).withColumn("fold", F.lit(fold)))
     if spark is None:
         raise ValueError("no pair to score")
     return (
         spark.createDataFrame(scores, "fold int, direction string, rmsle double"),
-        spark.createDataFrame(ranked, "fold int, feature string, score double"),
+        functools.reduce(DataFrame.unionByName, ranked).select("fold", "feature", "score"),
+    )
+
+
+def cv_summary(scores: DataFrame, importances: DataFrame, k: int = 20) -> DataFrame:
+    """(feature, votes, mean_score, folds): in how many folds a feature is among the ``k``
+    most split, beside the mean of all scores and their number."""
+    means = cv_scores(scores)
+    return top_feature_votes(importances, k).select(
+        "feature", "votes", means.select("mean_score").scalar().alias("mean_score"),
+        means.select("folds").scalar().alias("folds"),
     )

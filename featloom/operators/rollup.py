@@ -29,6 +29,7 @@ from featloom.operators.encode import (
     distribution,
     fit_column_vocab,
     fit_vocab,
+    quoted,
 )
 from featloom.operators.joins import attach
 from featloom.operators.reshape import pivot_sum, pool_attribute, unpivot
@@ -63,11 +64,14 @@ def multi_hot(
 
 def row_multi_hot(
     columns: Sequence[str], vocab: Vocabulary, prefix: str = "", null_values: Sequence = ()
-) -> list[Column]:
-    """The same counts across columns of one row: no shuffle, for tables unique by key."""
-    by_column = [vocab.matches(c, null_values) for c in columns]
+) -> list[str]:
+    """The same counts across columns of one row: no shuffle, for tables unique by key.
+
+    Texts for ``selectExpr``, which takes thousands of them in one call.
+    """
+    by_column = [vocab.match_sql(c, null_values) for c in columns]
     return [
-        functools.reduce(operator.add, cells).alias(f"{prefix}{label}")
+        f"{' + '.join(cells)} as {quoted(f'{prefix}{label}')}"
         for label, cells in zip(vocab.labels, zip(*by_column))
     ]
 
@@ -252,7 +256,9 @@ def spec_counts(
     has_specs = is_positive(row_count_non_null(columns)).alias("has_specs")
     kept = [by_name(c) for c in specs.columns if c not in columns]
     if unique_key:
-        return specs.select(*kept, has_specs, *row_multi_hot(columns, Vocabulary(codes), prefix))
+        flagged = specs.select("*", has_specs)
+        names = [quoted(c) for c in flagged.columns if c not in columns]
+        return flagged.selectExpr(*names, *row_multi_hot(columns, Vocabulary(codes), prefix))
     grouped = multi_hot(unpivot(specs, key, columns, "__code"), key, "__code", codes, prefix)
     return attach(specs.select(*kept, has_specs), grouped, key, hot_from=specs)
 
@@ -280,7 +286,7 @@ def end_counts(
     require_unique([*kept, *[f"{prefix}{label}" for label in vocab.labels]])
     kept_columns = [by_name(c) for c in kept]
     if unique_key:
-        return tubes.select(*kept_columns, *row_multi_hot(columns, vocab, prefix, null_values))
+        return tubes.selectExpr(*map(quoted, kept), *row_multi_hot(columns, vocab, prefix, null_values))
     long = unpivot(tubes, key, columns, "__end")
     long = long.withColumn("__end", bucket(F.col("__end")))
     grouped = multi_hot(long, key, "__end", vocab.labels, prefix)

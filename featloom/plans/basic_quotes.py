@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.ml import Model
 from pyspark.sql import DataFrame
 
 from featloom.functions.columns import by_name
@@ -25,6 +26,8 @@ from featloom.operators.encode import (
     one_hot,
 )
 from featloom.operators.joins import attach, attach_roles
+from featloom.operators.metrics import rmsle
+from featloom.operators.model import assemble, fit_gbt, predictions, to_matrix, with_log_label
 from featloom.operators.rollup import (
     bill_rollup,
     end_counts,
@@ -32,6 +35,7 @@ from featloom.operators.rollup import (
     named_components,
     totals,
 )
+from featloom.operators.split import by_flag, group_holdout
 from featloom.plans.assemblies import (
     COMPONENT_SLOTS,
     END_FLAGS,
@@ -39,6 +43,7 @@ from featloom.plans.assemblies import (
     SPEC_COLUMNS,
     bill_slots,
 )
+from featloom.session import materialize
 
 
 @dataclass(frozen=True)
@@ -161,3 +166,61 @@ def basic_quote_features(
     return date_parts(
         df, "quote_date", ("year", "month", "dayofyear", "dayofweek", "day")
     )
+
+
+# Columns that name a row and are no features.
+NOT_FEATURES = (KEY, "supplier")
+
+
+def _basic_matrices(
+    train: DataFrame, test: DataFrame, tables: Mapping[str, DataFrame], cutoffs: BasicCutoffs,
+    cost: str, keep: Sequence[str],
+) -> tuple[DataFrame, DataFrame]:
+    """Matrices of both sides; the assemblies are computed once, suppliers bucketed as in training."""
+    assemblies = materialize(basic_assemblies(tables, cutoffs), "basic-assemblies")
+    left = basic_quote_features(train, assemblies, train, cutoffs)
+    right = basic_quote_features(test, assemblies, train, cutoffs)
+    features = [c for c in left.columns if c not in {*NOT_FEATURES, cost, *keep}]
+    return (
+        assemble(to_matrix(left, NOT_FEATURES, [cost]), features, [cost]),
+        assemble(to_matrix(right, NOT_FEATURES, list(keep)), features, list(keep)),
+    )
+
+
+def fit_absolute(matrix: DataFrame) -> Model:
+    """Absolute loss, 1000 rounds of steps of 0.1 on 80 % of the rows, depth 15."""
+    return fit_gbt(
+        matrix, loss="absolute", rounds=1000, depth=15, step=0.1, subsample=0.8, features_share=1.0, min_rows=1
+    )
+
+
+def basic_score(
+    train: DataFrame,
+    test: DataFrame,
+    tables: Mapping[str, DataFrame],
+    cutoffs: BasicCutoffs = BasicCutoffs(),
+    fit: Callable[[DataFrame], Model] = fit_absolute,
+    cost: str = "cost",
+    row_id: str = "id",
+) -> DataFrame:
+    """(id, cost) of every test quote, also those of unknown assemblies."""
+    matrix, other = _basic_matrices(train, test, tables, cutoffs, cost, [row_id])
+    model = fit(materialize(with_log_label(matrix, cost), "basic-matrix"))
+    return predictions(model, other, [row_id], cost)
+
+
+def basic_holdout_score(
+    quotes: DataFrame,
+    tables: Mapping[str, DataFrame],
+    cutoffs: BasicCutoffs = BasicCutoffs(),
+    fit: Callable[[DataFrame], Model] = fit_absolute,
+    share: float = 0.2,
+    seed: int = 42,
+    cost: str = "cost",
+) -> DataFrame:
+    """RMSLE on the quotes of whole assemblies that were held out."""
+    flagged = materialize(group_holdout(quotes, KEY, share, seed), "basic-sides")
+    test, train = by_flag(flagged, "is_test")
+    matrix, other = _basic_matrices(train, test, tables, cutoffs, cost, [cost])
+    model = fit(materialize(with_log_label(matrix, cost), "basic-matrix"))
+    return rmsle(predictions(model, other, [cost], "predicted"), cost, "predicted")

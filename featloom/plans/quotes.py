@@ -6,21 +6,32 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Model
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from featloom.functions.columns import by_name
 from featloom.functions.scalars import date_parts, inverse_log
 from featloom.operators.clean import decode_flag, drop_value
-from featloom.operators.encode import Vocabulary, fit_column_vocab, one_hot
+from featloom.operators.encode import (
+    MAX_VALUES,
+    Vocabulary,
+    fit_column_vocab,
+    fold_counts,
+    one_hot,
+)
 from featloom.operators.joins import attach, keep_listed
 from featloom.operators.model import (
+    FEATURES,
     assemble,
     cross_validate,
     fit_gbt,
     predictions,
+    slot_table,
     to_matrix,
     with_log_label,
 )
+from featloom.operators.sparse import Dictionary, dictionary_of, fit_dictionary, one_hot_vectors
 from featloom.operators.split import group_folds, recombine
 from featloom.plans.assemblies import KEY, Cutoffs, assembly_features, usable_tubes
 from featloom.plans.recipes import RECIPES, AttributeRecipe
@@ -57,8 +68,8 @@ class QuoteEncoder:
     suppliers: Vocabulary
 
     @classmethod
-    def fit(cls, train: DataFrame) -> QuoteEncoder:
-        return cls(fit_column_vocab(train, "supplier"))
+    def fit(cls, train: DataFrame, max_values: int = MAX_VALUES) -> QuoteEncoder:
+        return cls(fit_column_vocab(train, "supplier", max_values=max_values))
 
     def transform(self, df: DataFrame) -> DataFrame:
         return one_hot(
@@ -66,6 +77,33 @@ class QuoteEncoder:
         )
 
 
+@dataclass(frozen=True)
+class SparseQuoteEncoder:
+    """The same for any number of suppliers: a dictionary table and a sparse part of the vector."""
+
+    suppliers: Dictionary
+
+    @classmethod
+    def fit(cls, train: DataFrame) -> SparseQuoteEncoder:
+        return cls(fit_dictionary(train, "supplier"))
+
+    def matrix(self, table: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+        """The kept columns and one vector: the features as numbers, then the suppliers."""
+        kept = list(dict.fromkeys([*keep, "supplier"]))
+        numbers = to_matrix(table.select(*[by_name(c) for c in [*kept, *features]]), keep=kept)
+        dense = assemble(numbers, features, kept).withColumnRenamed(FEATURES, "__numbers")
+        hot = one_hot_vectors(dense, "supplier", self.suppliers, "__suppliers")
+        joined = VectorAssembler(inputCols=["__numbers", "__suppliers"], outputCol=FEATURES).transform(hot)
+        return joined.select(*[by_name(c) for c in keep], FEATURES)
+
+    def slots(self, features: Sequence[str]) -> DataFrame:
+        """(slot, label) of that vector."""
+        own = self.suppliers.labels.select(
+            (F.col("slot") + len(features)).alias("slot"), F.concat(F.lit("supplier_"), F.col("label")).alias("label")
+        )
+        return slot_table(features).unionByName(own)
+
+
 def quote_features(
     quotes: DataFrame, tables: Mapping[str, DataFrame], cutoffs: Cutoffs = Cutoffs(),
     recipes: tuple[AttributeRecipe, ...] = RECIPES, outlier_quantity: float | None = 2500,
@@ -75,7 +113,7 @@ def quote_features(
         quotes = drop_value(quotes, "quantity", outlier_quantity)
     assemblies, encoder = in_parallel([
         lambda: assembly_features(tables, cutoffs, recipes),
-        lambda: QuoteEncoder.fit(usable_quotes(quotes, tables["tube"], None)),
+        lambda: QuoteEncoder.fit(usable_quotes(quotes, tables["tube"], None), cutoffs.max_values),
     ])
     return encoder.transform(attach(quotes, assemblies, KEY, how="inner"))
 
@@ -93,6 +131,7 @@ def score_test_set(
     fit: Callable[[DataFrame], Model] = fit_gbt,
     cost: str = "cost",
     row_id: str = "id",
+    outlier_quantity: float | None = 2500,
 ) -> DataFrame:
     """(id, cost) of every test quote of a usable tube.
 
@@ -100,20 +139,16 @@ def score_test_set(
     """
     assemblies, encoder = in_parallel([
         lambda: materialize(assembly_features(tables, cutoffs), "assemblies"),
-        lambda: QuoteEncoder.fit(usable_quotes(train, tables["tube"])),
+        lambda: SparseQuoteEncoder.fit(usable_quotes(train, tables["tube"], outlier_quantity)),
     ])
-    train_table = encoder.transform(
-        attach(drop_value(train, "quantity", 2500), assemblies, KEY, how="inner")
-    )
-    test_table = encoder.transform(attach(test, assemblies, KEY, how="inner"))
+    kept = train if outlier_quantity is None else drop_value(train, "quantity", outlier_quantity)
+    train_table = quote_columns(attach(kept, assemblies, KEY, how="inner"))
+    test_table = quote_columns(attach(test, assemblies, KEY, how="inner"))
     features = feature_names(train_table, (cost, row_id))
-    train_matrix = assemble(
-        to_matrix(train_table, NOT_FEATURES, keep=[cost]), features, [cost]
-    )
-    test_matrix = assemble(to_matrix(test_table, NOT_FEATURES, keep=[row_id]), features, [row_id])
+    train_matrix = encoder.matrix(train_table, features, [cost])
     # Boosting reads its input many times; the features behind it are computed once.
     model = fit(materialize(with_log_label(train_matrix, cost), "matrix"))
-    return predictions(model, test_matrix, [row_id], cost)
+    return predictions(model, encoder.matrix(test_table, features, [row_id]), [row_id], cost)
 
 
 def cross_validated_score(
@@ -125,20 +160,26 @@ def cross_validated_score(
     seed: int = 42,
     cost: str = "cost",
     swap: bool = True,
+    outlier_quantity: float | None = 2500,
 ) -> tuple[DataFrame, DataFrame]:
-    """Scores and importances of whole-assembly folds, both ways round."""
-    folded = group_folds(usable_quotes(train, tables["tube"]), KEY, base_split, seed)
-    folded = materialize(
-        attach(folded, assembly_features(tables, cutoffs), KEY, how="inner"), "folds"
-    )
-
-    def prepare(first: DataFrame, second: DataFrame):
-        encoder = QuoteEncoder.fit(first)
-        tables_ = encoder.transform(first), encoder.transform(second)
-        names = feature_names(tables_[0], (cost,))
-        a, b = (
-            assemble(to_matrix(t, NOT_FEATURES, keep=[cost]), names, [cost]) for t in tables_
-        )
-        return a, b, names
+    """Scores and importances of whole-assembly folds, both ways round.
+
+    Suppliers are counted once, by fold; each pair's dictionary comes from those counts.
+    """
+    folds = int(1 / base_split)
+    usable = usable_quotes(train, tables["tube"], outlier_quantity)
+    folded = materialize(group_folds(usable, KEY, base_split, seed), "folds")
+    assemblies, counts = in_parallel([
+        lambda: materialize(assembly_features(tables, cutoffs), "assemblies"),
+        lambda: materialize(fold_counts(folded, "supplier", folds), "fold-counts"),
+    ])
+    wide = materialize(quote_columns(attach(folded, assemblies, KEY, how="inner")), "fold-features")
+    features = feature_names(wide, (cost, "fold"))
+
+    def prepare(fold: int, first: DataFrame, second: DataFrame):
+        own = counts.where((F.col("pair") == fold) & (F.col("side") == "first"))
+        encoder = SparseQuoteEncoder(dictionary_of(own))
+        a, b = (encoder.matrix(side, features, [cost]) for side in (first, second))
+        return a, b, encoder.slots(features)
 
-    return cross_validate(recombine(folded, int(1 / base_split)), prepare, fit, cost, swap)
+    return cross_validate(recombine(wide, folds), prepare, fit, cost, swap)

@@ -141,7 +141,7 @@ def test_component_quantity_pools_rare_ones(bill):
 def test_row_counts_sum_to_filled_slots(bill):
     columns = ["component_id_1", "component_id_2"]
     vocab = encode.fit_column_vocab(bill, columns)
-    row_local = bill.select("k", *rollup.row_multi_hot(columns, vocab))
+    row_local = bill.selectExpr("k", *rollup.row_multi_hot(columns, vocab))
     grouped = rollup.multi_hot(
         reshape.unpivot(bill, "k", columns, "c"), "k", "c", vocab.labels
     )
