@@ -2,8 +2,10 @@
 
 Right sides have one row per key here (roll-ups, dimensions).  The physical
 join is left to Catalyst and AQE, which broadcast by measured size only; no
-broadcast is forced.  For large inputs the hot keys of the left side are looked
-up first, and their rows are spread over salts.
+broadcast of them is forced.  For large inputs the hot keys of the left side are
+looked up first, and each key's rows are spread over as many salts as it has
+multiples of a task's rows.  Hot keys stay a table, (hash, salts): neither the plan
+nor the driver holds a list of them, and there is no limit to their number.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from featloom.functions.columns import as_list, by_name, require_unique
+from featloom.session import materialize
 
 # Left sides that read fewer bytes than this are joined without looking for hot keys.
 SKEW_MIN_BYTES_CONF = "featloom.skew.minBytes"
@@ -21,8 +24,7 @@ SKEW_MIN_BYTES = 64 << 30
 # A key is hot from this many rows on, about what one task should sort.
 HOT_ROWS_CONF = "featloom.skew.hotRows"
 HOT_ROWS = 5_000_000
-# At most this many keys are salted; any other owns less than 1/1000 of the rows.
-HOT_KEYS = 1000
+# Rows with a null key match nothing and are spread over this many salts.
 SALTS_CONF = "featloom.skew.salts"
 SALTS = 64
 INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
@@ -55,16 +57,17 @@ def _worth_salting(left: DataFrame, right: DataFrame) -> bool:
     return size is None or size > limit
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> list[int]:
-    """Hashes of the keys with the most rows, at most ``HOT_KEYS``, hot ones only.
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(hash, salts) of the keys with at least so many rows that a task should not sort more.
 
-    The job reads the key columns; counting combines on the map side, so a hot
-    key costs one row per task.
+    The job reads the key columns; counting combines on the map side, so a hot key costs
+    one row per task.  A table of ``n`` rows has at most ``n / HOT_ROWS`` hot keys.
     """
     least = int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS)))
-    known = df.select(_key_hash(keys).alias("h")).where(F.col("h").isNotNull())
-    counts = known.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    return [row.h for row in counts.orderBy(F.desc("n")).limit(HOT_KEYS).collect()]
+    known = df.select(_key_hash(keys).alias("__hot")).where(F.col("__hot").isNotNull())
+    counts = known.groupBy("__hot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    # Twice as many salts as tasks' worth of rows, as hashes do not deal evenly.
+    return counts.select("__hot", F.ceil(2 * F.col("n") / least).cast("int").alias("__salts"))
 
 
 def _key_hash(keys: list[str]) -> Column:
@@ -76,22 +79,26 @@ def _key_hash(keys: list[str]) -> Column:
 
 
 def _salted(
-    left: DataFrame, right: DataFrame, keys: list[str], right_keys: list[str], hot: list[int]
+    left: DataFrame, right: DataFrame, keys: list[str], right_keys: list[str], hot: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """Both sides with a salt; rows with a null key match nothing and are spread as well."""
+    """Both sides with a salt; rows with a null key match nothing and are spread as well.
+
+    The table of hot keys has a row for every ``HOT_ROWS`` rows of the left side at most,
+    12 bytes each, so it goes to every task: a shuffle by key is what has to be avoided.
+    """
     salts = int(left.sparkSession.conf.get(SALTS_CONF, str(SALTS)))
-    key = _key_hash(keys)
+    columns, right_columns = left.columns, right.columns
+    with_hash = left.select("*", _key_hash(keys).alias("__hash"))
+    marked = with_hash.join(F.broadcast(hot), F.col("__hash") == F.col("__hot"), "left")
     # Equal rows hash alike, so the input partition is mixed in to part exact copies too.
-    spread = F.pmod(
-        F.xxhash64(F.spark_partition_id(), *[by_name(c) for c in left.columns]), F.lit(salts)
-    ).cast("int")
-    salt = F.when(key.isNull() | key.isin(hot), spread).otherwise(F.lit(0))
-    copies = F.when(
-        _key_hash(right_keys).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))
-    ).otherwise(F.array(F.lit(0)))
+    spread = F.xxhash64(F.spark_partition_id(), *[by_name(c) for c in columns])
+    parts = F.when(F.col("__hash").isNull(), F.lit(salts)).otherwise(F.coalesce("__salts", F.lit(1)))
+    named = right.select("*", _key_hash(right_keys).alias("__hash"))
+    copied = named.join(F.broadcast(hot), F.col("__hash") == F.col("__hot"), "left")
+    copies = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
     return (
-        left.select("*", salt.alias("__salt")),
-        right.select("*", F.explode(copies).alias("__right_salt")),
+        marked.select(*[by_name(c) for c in columns], F.pmod(spread, parts).cast("int").alias("__salt")),
+        copied.select(*[by_name(c) for c in right_columns], F.explode(copies).alias("__right_salt")),
     )
 
 
@@ -138,8 +145,8 @@ def attach(
     salting = _worth_salting(left, right) if skew is None else skew
     if salting and _alike(left, right, keys, inner_keys):
         # hot_from must hold the same keys; a narrower source spares running the left plan.
-        hot = hot_keys(left if hot_from is None else hot_from, keys)
-        if hot:
+        hot = materialize(hot_keys(left if hot_from is None else hot_from, keys), "hot-keys")
+        if not hot.isEmpty():
             left, right = _salted(left, right, keys, inner_keys, hot)
             condition.append(F.col("__salt") == F.col("__right_salt"))
     return left.join(right, condition, how).select(*[by_name(c) for c in output])

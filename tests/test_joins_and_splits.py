@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from helpers import values
 from featloom.operators import split
 from featloom.operators.joins import (
-    HOT_KEYS,
     attach,
     attach_roles,
     hot_keys,
@@ -55,13 +54,25 @@ def test_salting_spreads_the_hot_key(spark, skewed):
     assert tasks > 4
 
 
-def test_hot_keys_are_the_largest_and_bounded(spark, skewed):
-    assert len(hot_keys(skewed, ["k"])) == 1
-    twice = spark.range(HOT_KEYS * 6).select((F.col("id") % (HOT_KEYS * 2)).alias("k"))
-    assert hot_keys(twice, ["k"]) == []
-    spark.conf.set("featloom.skew.hotRows", "2")
+def test_hot_keys_are_a_table_with_a_salt_for_each_share(spark, skewed):
+    ((_, salts),) = hot_keys(skewed, ["k"]).collect()
+    assert salts == 12
+    assert hot_keys(spark.range(99).select((F.col("id") % 1).alias("k")), ["k"]).isEmpty()
+
+
+def test_five_thousand_hot_keys(spark, skewed):
+    spark.conf.set("featloom.skew.hotRows", "4")
     try:
-        assert len(hot_keys(twice, ["k"])) == HOT_KEYS
+        left = spark.range(25_100).select(
+            F.when(F.col("id") < 25_000, F.col("id") % 5000).alias("k"), F.col("id").alias("v")
+        )
+        right = spark.range(0, 6000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+        assert hot_keys(left, ["k"]).count() == 5000
+        for how in ("left", "inner"):
+            salted = attach(left, right, "k", how=how, skew=True)
+            assert len(salted._jdf.queryExecution().toString()) < 20_000
+            plain = attach(left, right, "k", how=how, skew=False)
+            assert Counter(values(salted)) == Counter(values(plain))
     finally:
         spark.conf.set("featloom.skew.hotRows", "100")
 

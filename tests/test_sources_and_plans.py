@@ -269,3 +269,50 @@ def test_csv_files_with_another_header_are_refused(spark, tmp_path):
     (tmp_path / "b.csv").write_text("c,weight,length\nB,1,2\n")
     with pytest.raises(Exception, match="(?i)header|schema"):
         read_csv_table(spark, str(tmp_path), "c string, length double, weight double").collect()
+
+
+def test_csv_line_ends_inside_fields(spark, tmp_path):
+    rows = [(1, "two\nlines"), (2, 'a "quoted"\r\n, one'), (3, None), (4, "plain")]
+    df = spark.createDataFrame(rows, "k int, v string")
+    write_csv_table(df, str(tmp_path / "out"))
+    back = read_csv_table(spark, str(tmp_path / "out"), "k int, v string", multi_line=True)
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    path = put(tmp_path / "a.csv", 'k,v\n1,"two\nlines"\n')
+    assert read_csv_table(spark, path, "k int, v string", multi_line=True).collect() == [(1, "two\nlines")]
+
+
+def test_csv_files_with_different_headers(spark, tmp_path):
+    (tmp_path / "t.csv").mkdir()
+    put(tmp_path / "t.csv" / "a.csv", "id,size\nC-1,1.5\nC-2,NA\n")
+    put(tmp_path / "t.csv" / "b.csv", "size,extra,id\n2.5,x,C-3\n")
+    put(tmp_path / "t.csv" / "c.csv", "id,size\nC-4,4\n")
+    with pytest.raises(Exception):  # noqa: B017
+        read_csv_table(spark, str(tmp_path / "t.csv"), "id string, size double").collect()
+    tables = load_tables(
+        spark, str(tmp_path), ["t"], {"t": "id string, size double"}, mixed_headers=True
+    )
+    assert values(tables["t"]) == [("C-1", 1.5), ("C-2", None), ("C-3", 2.5), ("C-4", 4.0)]
+    put(tmp_path / "t.csv" / "d.csv", "id\nC-5\n")
+    with pytest.raises(ValueError, match="lacks the columns"):
+        read_csv_table(spark, str(tmp_path / "t.csv"), "id string, size double", mixed_headers=True)
+
+
+def test_plans_run_few_queries_ahead(spark, monkeypatch):
+    """Fits, vocabularies and written tables before the result itself."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    import featloom.checks as checks
+
+    ran = []
+    for owner, name in ((Frame, "collect"), (Frame, "first"), (Frame, "count"), (Frame, "isEmpty"), (DataFrameWriter, "parquet")):
+        def counted(self, *a, _name=name, _run=getattr(owner, name), **k):
+            ran.append(_name)
+            return _run(self, *a, **k)
+
+        monkeypatch.setattr(owner, name, counted)
+    folder = "/root/testdata/sf0.001"
+    for query, most in (("quote_features", 15), ("basic_quote_features", 6)):
+        ran.clear()
+        checks.QUERIES[query](spark, folder)
+        assert 0 < len(ran) <= most, ran
