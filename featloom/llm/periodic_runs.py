@@ -135,7 +135,7 @@ class CommonExtensions:
             shared[live] += 1
         row = np.concatenate([[0], shared])
         table, size = [row], 1
-        while 2 * size <= len(row):
+        while 2 * size <= len(shared) + 1:
             row = np.minimum(row[:-size], row[size:])
             table.append(row)
             size *= 2

@@ -75,6 +75,13 @@ def test_extensions_against_brute_force():
         assert periodic_runs.CommonExtensions(words)(i, j).tolist() == slow
 
 
+@pytest.mark.parametrize("n", [40, 97, 130, 300])
+def test_extensions_between_ranks_far_apart(n):
+    """Suffixes of one word repeated are ranked by length, so any distance of ranks occurs."""
+    i, j = np.triu_indices(n + 1, 1)
+    assert (periodic_runs.CommonExtensions(np.zeros(n, np.int64))(i, j) == n - j).all()
+
+
 def test_grids_are_looked_at_in_parts(monkeypatch):
     words = awkward(random.Random(11)) * 3
     whole = periodic_runs.find_runs(periodic_runs.numbered(words))
