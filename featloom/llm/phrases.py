@@ -10,15 +10,15 @@ is, so its count is one row of the roll-up, and the count by language is the num
 words.  No n-grams of other lengths are ever made.
 
 Most windows are rare to the point of being unique, and a phrase is wanted only if it
-occurs ``least`` times.  So a first pass counts the hashes of one, two and three words in
+occurs ``least`` times.  So a first pass counts the hashes of two and of three words in
 ``SLOTS`` slots each, added up over all of the corpus and cut off at ``least``.  A slot below
 ``least`` holds no frequent phrase, and a window is padded from the first word on that would
 make it hold one of those: every longer phrase through it is rare as well.  What is padded
 away is never a phrase that is kept, so the counts are exact, at any size of the corpus;
 a corpus too large for the slots only leaves more windows whole.  The slots that reach
-``least`` are bits, ``3 * SLOTS / 8`` bytes in all, and go to every task.
+``least`` are bits, ``SLOTS / 4`` bytes in all, and go to every task.
 
-Tasks add up equal windows of a part of their documents before they are shuffled.
+Tasks add up equal windows of their documents, in bounded tables, before the shuffle.
 
 Scores are exact: products are decimals of 38 digits, the division is integral.
 
@@ -42,9 +42,12 @@ LONGEST = 5
 TOP = 2000
 UNKNOWN = "und"
 SLOTS = 1 << 22
-ORDERS = 3  # lengths of phrases that are counted by hash first
+ORDERS = (2, 3)  # lengths of phrases that are counted by hash first
 _CHUNK = 1 << 20  # words looked at together in a task
 _PART = 1 << 16  # slots in a row
+_MOST_WORDS = 1 << 20  # numbered in a task before the numbering begins again
+_MOST_WINDOWS = 1 << 21  # held in a task before they are passed on
+_ROWS = 1 << 16  # in a batch
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
@@ -68,11 +71,14 @@ class _Numbers(dict):
 
 
 def _chunks(batches):
-    """(languages, language of each word, word numbers, numbering), piece ends between pieces."""
+    """(languages, language of each word, word numbers, numbering, last) of some documents.
 
-    def flush():
+    Numbers of words and languages go on until ``last``, so that chunks can be added up.
+    """
+
+    def chunk(last):
         sizes = [len(p) for p in parts]
-        return list(langs), np.repeat(np.array(codes), sizes), np.concatenate(parts), words
+        return list(langs), np.repeat(np.array(codes), sizes), np.concatenate(parts), words, last
 
     words, langs, parts, codes, held = _Numbers(), {}, [], [], 0
     for batch in batches:
@@ -84,10 +90,15 @@ def _chunks(batches):
             codes.append(langs.setdefault(lang.as_py(), len(langs)))
             held += len(tokens)
             if held >= _CHUNK:
-                yield flush()
-                words, langs, parts, codes, held = _Numbers(), {}, [], [], 0
-    if parts:
-        yield flush()
+                full = len(words) > _MOST_WORDS
+                yield chunk(full)
+                parts, codes, held = [], [], 0
+                if full:
+                    words, langs = _Numbers(), {}
+    if len(words) > 1:
+        if not parts:
+            parts, codes = [np.zeros(1, np.int64)], [0]
+        yield chunk(True)
 
 
 def _slots(langs: list[str], code: np.ndarray, number: np.ndarray, words: _Numbers, slots: int):
@@ -96,29 +107,29 @@ def _slots(langs: list[str], code: np.ndarray, number: np.ndarray, words: _Numbe
     own = np.array(words.hashes, np.uint64)[number]
     h, fits = seeds[code], np.ones(len(number), bool)
     shift = np.uint64(64 - (slots.bit_length() - 1))
-    for order in range(ORDERS):
-        ahead = np.roll(own, -order)
-        fits = fits & (np.roll(number, -order) > 0)
-        if order:
-            fits[-order:] = False
-        h = (h ^ ahead) * _P
+    for more in range(max(ORDERS)):
+        fits = fits & (np.roll(number, -more) > 0)
+        if more:
+            fits[-more:] = False
+        h = (h ^ np.roll(own, -more)) * _P
         h = (h ^ (h >> np.uint64(32))) * _Q
         h = h ^ (h >> np.uint64(29))
-        at = np.flatnonzero(fits)
-        yield at, (h[at] >> shift).astype(np.int64)
+        if more + 1 in ORDERS:
+            at = np.flatnonzero(fits)
+            yield at, (h[at] >> shift).astype(np.int64)
 
 
 def _sketcher(least: int, slots: int):
     kind = np.uint8 if least < 256 else np.uint32
 
     def work(batches):
-        totals = np.zeros((ORDERS, slots), np.uint32)
-        for chunk in _chunks(batches):
+        totals = np.zeros((len(ORDERS), slots), np.uint32)
+        for *chunk, _ in _chunks(batches):
             for order, (_, slot) in enumerate(_slots(*chunk, slots)):
                 totals[order] = np.minimum(totals[order] + np.bincount(slot, minlength=slots), least)
         rows = [
             (order * (slots // _PART) + i, part.astype(kind).tobytes())
-            for order in range(ORDERS) for i, part in enumerate(totals[order].reshape(-1, _PART)) if part.any()
+            for order in range(len(ORDERS)) for i, part in enumerate(totals[order].reshape(-1, _PART)) if part.any()
         ]
         yield pa.record_batch(
             [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "counts"]
@@ -146,10 +157,10 @@ def frequent_slots(texts: DataFrame, least: int, slots: int) -> np.ndarray:
     """For each order, which slots may hold a phrase that occurs ``least`` times."""
     sketched = texts.mapInArrow(_sketcher(least, slots), "part int, counts binary")
     added = sketched.repartition("part").mapInArrow(_adder(least), "part int, bits binary")
-    out = np.zeros((ORDERS * (slots // _PART), _PART // 8), np.uint8)
-    for row in added.collect():  # 3 * slots / 8 bytes at most
+    out = np.zeros((len(ORDERS) * (slots // _PART), _PART // 8), np.uint8)
+    for row in added.collect():  # slots / 4 bytes at most
         out[row.part] = np.frombuffer(row.bits, np.uint8)
-    return out.reshape(ORDERS, -1)
+    return out.reshape(len(ORDERS), -1)
 
 
 def _window_maker(bits: np.ndarray, slots: int):
@@ -157,7 +168,8 @@ def _window_maker(bits: np.ndarray, slots: int):
 
     def windows(langs, code, number, words):
         size = len(number)
-        frequent = []
+        # A single word is never padded away: all of them count towards the size.
+        frequent = [np.concatenate([number > 0, np.zeros(LONGEST, bool)])]
         for order, (at, slot) in enumerate(_slots(langs, code, number, words, slots)):
             keep = np.zeros(size + LONGEST, bool)
             keep[at] = (bits[order][slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1
@@ -165,28 +177,43 @@ def _window_maker(bits: np.ndarray, slots: int):
         padded = np.concatenate([number, np.zeros(LONGEST, np.int64)])
         lead, on = [], np.ones(size, bool)
         for i in range(LONGEST):
-            order = min(i, ORDERS - 1)
+            order = min(i, len(ORDERS))
             on = on & frequent[order][i - order : i - order + size]
             lead.append(np.where(on, padded[i : i + size], 0))
         real = np.flatnonzero(number > 0)
         # Numbers are below 2^31, so two make a key.
-        keys = [a[real] << 32 | b[real] for a, b in ((code, lead[0]), lead[1:3], lead[3:5])]
+        return added([a[real] << 32 | b[real] for a, b in ((code, lead[0]), lead[1:3], lead[3:5])], np.ones(len(real), np.int64))
+
+    def added(keys, counts):
+        """Equal windows once, with the sum of their counts."""
         order = np.lexsort(keys)
+        keys = [key[order] for key in keys]
         new = np.ones(len(order), bool)
         new[1:] = False
         for key in keys:
-            new[1:] |= key[order][1:] != key[order][:-1]
+            new[1:] |= key[1:] != key[:-1]
         starts = np.flatnonzero(new)
-        counts = np.diff(np.append(starts, len(order)))
-        at = real[order[starts]]
+        sums = np.add.reduceat(counts[order], starts) if len(starts) else counts
+        return [key[starts] for key in keys], sums
+
+    def rows(langs, words, parts):
+        keys, counts = added([np.concatenate([p[0][i] for p in parts]) for i in range(3)], np.concatenate([p[1] for p in parts]))
         labels = pa.array(words.names, pa.binary()).cast(pa.string())
-        columns = [pa.array(langs, pa.string()).take(pa.array(code[at]))]
-        columns += [labels.take(pa.array(column[at])) for column in lead]
-        return pa.record_batch([*columns, pa.array(counts.astype(np.int64))], names)
+        low = (1 << 32) - 1
+        numbers = [keys[0] & low, keys[1] >> 32, keys[1] & low, keys[2] >> 32, keys[2] & low]
+        for at in range(0, len(counts), _ROWS):
+            cut = slice(at, at + _ROWS)
+            columns = [pa.array(langs, pa.string()).take(pa.array(keys[0][cut] >> 32))]
+            columns += [labels.take(pa.array(number[cut])) for number in numbers]
+            yield pa.record_batch([*columns, pa.array(counts[cut])], names)
 
     def work(batches):
-        for chunk in _chunks(batches):
-            yield windows(*chunk)
+        parts = []
+        for langs, code, number, words, last in _chunks(batches):
+            parts.append(windows(langs, code, number, words))
+            if last or sum(len(p[1]) for p in parts) > _MOST_WINDOWS:
+                yield from rows(langs, words, parts)
+                parts = []
 
     return work
 
