@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from featloom.checks.encode_checks import BILL_SQL
-from featloom.checks.model_checks import line_matrix
 from featloom.checks.registry import ORACLES, check
 from featloom.checks.rollup_checks import (
     BASIC_CUTOFFS,

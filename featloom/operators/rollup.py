@@ -8,7 +8,6 @@ once, and one ``groupBy`` sums everything.
 from __future__ import annotations
 
 import functools
-import operator
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame

@@ -6,7 +6,6 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from featloom.functions.columns import by_name, require_unique
 from featloom.operators.clean import (
