@@ -246,7 +246,7 @@ def swap_scores_cells(spark, folder):
     folded = split.group_folds(cell_matrix(spark, folder), "l_orderkey", rule="carry")
     scores, _ = model.cross_validate(
         split.recombine(materialize(folded, "cell-folds"), 4),
-        lambda fold, train, test: (train, test, CELLS), exact_gbt(1, 2),
+        lambda train, test: (train, test, CELLS), exact_gbt(1, 2),
     )
     return rounded(scores, 6)
 
@@ -280,7 +280,7 @@ def cv_votes(spark, folder):
     folded = split.group_folds(step_matrix(spark, folder), "l_orderkey")
     scores, splits = model.cross_validate(
         split.recombine(materialize(folded, "step-folds"), 4),
-        lambda fold, train, test: (train, test, STEPS), exact_gbt(1, 2),
+        lambda train, test: (train, test, STEPS), exact_gbt(1, 2),
     )
     return rounded(model.cv_summary(scores, splits), 6)
 

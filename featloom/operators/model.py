@@ -137,14 +137,14 @@ def named_splits(model: Model, names: Sequence[str] | DataFrame) -> DataFrame:
 
 def cross_validate(
     pairs: Iterable[tuple[int, DataFrame, DataFrame]],
-    prepare: Callable[[int, DataFrame, DataFrame], tuple[DataFrame, DataFrame, Sequence[str] | DataFrame]],
+    prepare: Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame, Sequence[str] | DataFrame]],
     fit: Callable[[DataFrame], Model],
     cost: str = "cost",
     swap: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """Score every pair, and its swap if asked.
 
-    ``prepare(fold, train, test)`` fits encodings on the first side and returns both as
+    ``prepare(train, test)`` fits encodings on the first side and returns both as
     matrices with a cost and a feature vector, and the feature names.  Gives the
     scores (fold, direction, rmsle) and the importances (fold, feature, score), the
     score being the number of splits; both have a few rows per fold.
@@ -152,7 +152,7 @@ def cross_validate(
     scores, ranked, spark = [], [], None
     for fold, first, second in pairs:
         spark = first.sparkSession
-        train, test, features = prepare(fold, first, second)
+        train, test, features = prepare(first, second)
         # Boosting reads its input many times; written out it survives lost executors.
         train = materialize(with_log_label(train, cost), "fold-train")
         test = materialize(with_log_label(test, cost), "fold-test")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
@@ -176,10 +177,15 @@ def cross_validated_score(
     wide = materialize(quote_columns(attach(folded, assemblies, KEY, how="inner")), "fold-features")
     features = feature_names(wide, (cost, "fold"))
 
-    def prepare(fold: int, first: DataFrame, second: DataFrame):
+    def scored(fold: int, first: DataFrame, second: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = counts.where((F.col("pair") == fold) & (F.col("side") == "first"))
         encoder = SparseQuoteEncoder(dictionary_of(own))
-        a, b = (encoder.matrix(side, features, [cost]) for side in (first, second))
-        return a, b, encoder.slots(features)
 
-    return cross_validate(recombine(wide, folds), prepare, fit, cost, swap)
+        def prepare(a: DataFrame, b: DataFrame):
+            return *(encoder.matrix(side, features, [cost]) for side in (a, b)), encoder.slots(features)
+
+        return cross_validate([(fold, first, second)], prepare, fit, cost, swap)
+
+    parts = [scored(*pair) for pair in recombine(wide, folds)]
+    scores, splits = (functools.reduce(DataFrame.unionByName, side) for side in zip(*parts))
+    return scores, splits
