@@ -6,6 +6,7 @@ from featloom.checks import (  # noqa: F401
     model_checks,
     rollup_checks,
     row_checks,
+    sink_checks,
 )
 from featloom.checks.registry import ORACLES, QUERIES
 

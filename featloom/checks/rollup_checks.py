@@ -726,6 +726,18 @@ SPEC_SQL = f"""spec_rows as (select tube_assembly_id,
     {", ".join(" + ".join(f"case when {c} = '{v}' then 1 else 0 end" for c in SPEC_COLUMNS)
                + f' as "spec_{v}"' for v in SPECS)} from specs)"""
 
+
+def rounded_features(features: DataFrame) -> DataFrame:
+    inverse = {"inv_annual_usage", "inv_min_order_quantity", "inv_quantity"}
+    exact = {"cost", "wall", "total_components", "component_RareComponent"}
+    digits = {**{c: 8 for c in inverse}, "volume": 5}
+    return features.select(*[
+        F.round(by_name(c), digits.get(c, 3)).alias(c)
+        if kind == "double" and c not in exact else by_name(c)
+        for c, kind in features.dtypes
+    ])
+
+
 PLAN_TABLES = (
     "quotes", "tube", "tube_end_form", "specs", "components", *[r.table for r in RECIPES],
 )
@@ -752,14 +764,7 @@ def quote_features(spark, folder):
     features = plan_quote_features(
         stand_in(spark, folder, "quotes"), tables, PLAN_CUTOFFS, outlier_quantity=50
     )
-    inverse = {"inv_annual_usage", "inv_min_order_quantity", "inv_quantity"}
-    exact = {"cost", "wall", "total_components", "component_RareComponent"}
-    digits = {**{c: 8 for c in inverse}, "volume": 5}
-    return features.select(*[
-        F.round(by_name(c), digits.get(c, 3)).alias(c)
-        if kind == "double" and c not in exact else by_name(c)
-        for c, kind in features.dtypes
-    ])
+    return rounded_features(features)
 
 
 BASIC_CUTOFFS = BasicCutoffs(component=10**6, base_name=5, name=10**6, supplier=5)
