@@ -24,7 +24,7 @@ SAMPLE = [
     "attributes_boss", "attributes_nut", "attributes_hfl", "threaded_optional_steps",
     "impute_ridge_2", "impute_bend_radius", "spec_counts_grouped", "end_counts", "group_folds",
     "group_holdout", "rmsle_multi", "top_feature_votes", "basic_bill", "tube_features",
-    "quote_features",
+    "quote_features", "published_versions", "failed_publish_keeps_last",
 ]
 
 
