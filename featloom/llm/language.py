@@ -31,6 +31,8 @@ from pyspark.sql.window import Window
 PROFILE = 300
 SAMPLE = 1000
 FOLDS = 5
+# Ranges of 64-bit hashes, 4096 of them.
+RANGE_SHIFT = 52
 UNKNOWN = "und"
 # Texts scored below this are of no language that was learned.
 LEAST_SCORE = 0.05
@@ -110,9 +112,17 @@ def learn(
     labelled = documents.select("doc_id", "lang").where(
         F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), folds)
     )
-    # At most ``sample`` ids of a language; Spark keeps that many in each task already.
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labelled.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= sample)
+    # At most ``sample`` ids of a language, those of the least hashes.  Counts of hash ranges
+    # tell which ranges hold them, so no task sees more of a language than it needs.
+    hashed = labelled.select("*", F.xxhash64("doc_id").alias("hash"))
+    hashed = hashed.withColumn("range", F.shiftright("hash", RANGE_SHIFT))
+    counts = hashed.groupBy("lang", "range").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("range"))
+    reach = counts.withColumn("before", upto - F.col("n")).where(F.col("before") < sample)
+    reach = reach.select(F.col("lang").alias("l"), F.col("range").alias("r"))
+    near = hashed.join(reach, (F.col("lang") == F.col("l")) & (F.col("range") == F.col("r")), "left_semi")
+    turn = Window.partitionBy("lang").orderBy("hash", "doc_id")
+    chosen = near.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= sample)
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("id"), F.col("lang").alias("l")).distinct())
     texts = documents.select("doc_id", "lang", "text").join(
         chosen, (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l"))

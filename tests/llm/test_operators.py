@@ -139,6 +139,26 @@ def test_language_on_held_out(spark):
     assert {r.lang_pred for r in language.predict(docs, nothing).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("sample", [1, 7, 500])
+def test_language_learns_from_the_least_hashes(spark, sample):
+    pick = random.Random(5)
+    rows = [
+        (i, "".join(pick.choice("abcdefgh ") for _ in range(40)), "hot" if i % 3 else pick.choice("xy"), "s", 0)
+        for i in range(400)
+    ]
+    rows += [(7, "again and again", "hot", "s", 0), (9, None, "x", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    hashes = dict(docs.select("doc_id", F.xxhash64("doc_id")).collect())
+    least = []
+    for lang in ("hot", "x", "y"):
+        ids = [r[0] for r in rows if r[2] == lang and __import__("zlib").crc32(str(r[0]).encode()) % 5]
+        least += [(i, lang) for i in sorted(ids, key=lambda i: hashes[i])[:sample]]
+    chosen = [r for r in rows if (r[0], r[2]) in set(least)]
+    got, want = language.learn(docs, sample=sample), language.learn(spark.createDataFrame(chosen, DOCS))
+    assert got.languages == want.languages and got.keys.tolist() == want.keys.tolist()
+    assert got.places.tolist() == want.places.tolist()
+
+
 def test_out_of_place_distance():
     profiles = language.Profiles.of([("x", 97, 0), ("x", 98, 1), ("y", 98, 0)], size=4)
     # " ab " has a, b, " a", "ab", "b ", " ab", "ab "; the four least by number are kept
