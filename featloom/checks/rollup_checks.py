@@ -45,7 +45,7 @@ from featloom.plans.recipes import (
     STRAIGHT,
     clean_parts,
 )
-from featloom.session import in_parallel
+from featloom.session import in_parallel, materialize_measured
 
 KEY = "tube_assembly_id"
 
@@ -261,21 +261,43 @@ ATTRIBUTE_TABLES = [recipe.table for recipe in RECIPES]
 ATTRIBUTE_KINDS = [recipe.suffix for recipe in RECIPES]
 
 
-@check(f"""with {BILL_SQL}, {with_stand_ins(*ATTRIBUTE_TABLES)},
+ATTRIBUTES_SQL = f"""with {BILL_SQL}, {with_stand_ins(*ATTRIBUTE_TABLES)},
     {", ".join(prepared_sql(kind) for kind in ATTRIBUTE_KINDS)}
     select tube_assembly_id, {", ".join(c for kind in ATTRIBUTE_KINDS for c in summed_sql(kind))}
     from slots {" ".join(f"left join prepared_{kind} on component = prepared_{kind}.component_id"
-                         for kind in ATTRIBUTE_KINDS)} group by 1""")
-def attributes_rollup(spark, folder):
-    """All ten tables at once: merged into one, joined once, summed once."""
+                         for kind in ATTRIBUTE_KINDS)} group by 1"""
+
+
+def merged_attributes(spark, folder):
     slots, tables = slots_and(spark, folder, *ATTRIBUTE_TABLES)
     prepared = in_parallel([
         lambda recipe=recipe: recipe.prepare(tables[recipe.table]) for recipe in RECIPES
     ])
-    merged = rollup.merge_components(prepared)
+    return slots, rollup.merge_components(prepared)
+
+
+@check(ATTRIBUTES_SQL)
+def attributes_rollup(spark, folder):
+    """All ten tables at once: merged into one, joined once, summed once."""
+    slots, merged = merged_attributes(spark, folder)
     return rounded(rollup.sum_components(slots, merged, KEY), 3)
 
 
+@check(ATTRIBUTES_SQL)
+def attributes_rollup_measured(spark, folder):
+    """The same with the merged table written out and sent to the slots only if it is small in memory."""
+    slots, merged = merged_attributes(spark, folder)
+    table_, size = materialize_measured(merged, "attributes")
+    return rounded(rollup.sum_components(slots, table_, KEY, table_bytes=size), 3)
+
+
+@check(ATTRIBUTES_SQL)
+def attributes_rollup_shuffled(spark, folder):
+    """The form for tables too large in memory: slots summed by order and component, then shuffled."""
+    slots, merged = merged_attributes(spark, folder)
+    return rounded(rollup.sum_components(slots, merged, KEY, table_bytes=1 << 62), 3)
+
+
 @check(f"""with {BILL_SQL}, {with_stand_ins("comp_other")},
     named as (select component_id, case part_name when 'TUBE AS.' then 'TUBE AS'
         when 'FITTING-A/C' then 'FITTING' else part_name end as part_name, weight

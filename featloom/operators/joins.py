@@ -43,13 +43,18 @@ def input_bytes(df: DataFrame) -> int | None:
         return None
 
 
+def reads_much(df: DataFrame) -> bool:
+    """Whether the plan reads enough to look for hot keys first."""
+    least = int(df.sparkSession.conf.get(SKEW_MIN_BYTES_CONF, str(SKEW_MIN_BYTES)))
+    read = input_bytes(df)
+    return read is None or read >= least
+
+
 def _worth_salting(left: DataFrame, right: DataFrame) -> bool:
     """A large left side, and a right side Spark would not simply broadcast."""
-    conf = left.sparkSession.conf
-    least = int(conf.get(SKEW_MIN_BYTES_CONF, str(SKEW_MIN_BYTES)))
-    read = input_bytes(left)
-    if read is not None and read < least:
+    if not reads_much(left):
         return False
+    conf = left.sparkSession.conf
     threshold = conf.get("spark.sql.autoBroadcastJoinThreshold")
     # Spark reports it with a unit, as 10485760b.
     limit = int(threshold.rstrip("bB")) if threshold.rstrip("bB").lstrip("-").isdigit() else 0

@@ -3,6 +3,12 @@
 Roll-ups of one key share a single aggregation where they can: the per-component
 tables are merged into one (they are dimensions), the slots are joined to it
 once, and one ``groupBy`` sums everything.
+
+A table of a hundred measures, most of them null, takes a small part of its memory on
+disk, so the size of its files does not tell whether it can go to every task.  Where the
+caller knows its size in memory (``table_bytes``), that decides: up to
+``featloom.broadcast.maxBytes`` the table goes to the slots; beyond, the slots are summed
+by key and component first and both sides are shuffled by component.
 """
 
 from __future__ import annotations
@@ -30,9 +36,13 @@ from featloom.operators.encode import (
     fit_vocab,
     quoted,
 )
-from featloom.operators.joins import attach
+from featloom.operators.joins import attach, reads_much
 from featloom.operators.reshape import pivot_sum, pool_attribute, unpivot
 
+# Component tables of more bytes in memory than this are not sent to every task.
+BROADCAST_BYTES_CONF = "featloom.broadcast.maxBytes"
+BROADCAST_BYTES = 64 << 20
+
 
 def sum_by(
     df: DataFrame, keys: str | Iterable[str], measures: Sequence[str]
@@ -130,6 +140,35 @@ def pooled_components(
     return multi_hot(bucketed, component_id, "__value", vocab.labels, prefix), vocab
 
 
+def summed_slots(
+    slots: DataFrame, key: str, component: str = "component", quantity: str | None = None
+) -> DataFrame:
+    """(key, component, quantity, __slots): a key's slots of one component as one row."""
+    sums = [F.count(F.lit(1)).alias("__slots")]
+    if quantity is not None:
+        sums.insert(0, F.sum(by_name(quantity)).alias(quantity))
+    return slots.groupBy(by_name(key), by_name(component)).agg(*sums)
+
+
+def _with_measures(
+    slots: DataFrame, table: DataFrame, key: str, component: str, component_id: str,
+    quantity: str | None, how: str, skew: bool | None, table_bytes: int | None,
+) -> tuple[DataFrame, Column | None]:
+    """Slots with the measures of their component, and how many slots a row stands for, if not one."""
+    slots = slots.select(*[by_name(c) for c in (key, component, quantity) if c is not None])
+    if table_bytes is None:
+        return attach(slots, table, component, component_id, how=how, skew=skew), None
+    most = int(slots.sparkSession.conf.get(BROADCAST_BYTES_CONF, str(BROADCAST_BYTES)))
+    if table_bytes <= most:
+        return attach(slots, F.broadcast(table), component, component_id, how=how, skew=False), None
+    # The hint keeps Spark from sending the table out for its small files.
+    joined = attach(
+        summed_slots(slots, key, component, quantity), table.hint("merge"), component, component_id,
+        how=how, skew=reads_much(slots) if skew is None else skew, hot_from=slots.select(by_name(component)),
+    )
+    return joined, F.col("__slots")
+
+
 def sum_components(
     slots: DataFrame,
     table: DataFrame,
@@ -138,14 +177,21 @@ def sum_components(
     component_id: str = "component_id",
     how: str = "left",
     skew: bool | None = None,
+    table_bytes: int | None = None,
 ) -> DataFrame:
-    """Slots joined to a one-row-per-component table, its measures summed per key."""
+    """Slots joined to a one-row-per-component table, its measures summed per key.
+
+    ``table_bytes``: the table's size in memory (see above); None leaves the join to Spark.
+    """
     measures = [c for c in table.columns if c != component_id]
-    joined = attach(
-        slots.select(by_name(key), by_name(component)),
-        table, component, component_id, how=how, skew=skew,
+    joined, times = _with_measures(
+        slots, table, key, component, component_id, None, how, skew, table_bytes
     )
-    return sum_by(joined, key, measures)
+    return joined.groupBy(by_name(key)).agg(*[_summed(m, times).alias(m) for m in measures])
+
+
+def _summed(measure: str, times: Column | None) -> Column:
+    return F.sum(by_name(measure) if times is None else by_name(measure) * times)
 
 
 def attributes(
@@ -207,13 +253,17 @@ def bill_rollup(
     prefix: str = "",
     null_values: Sequence[str] = (),
     skew: bool | None = None,
+    table_bytes: int | None = None,
 ) -> DataFrame:
     """Component quantities, total quantity and every component measure in one aggregation.
 
     Components among ``null_values`` get no quantity column but keep their measures.
+    ``table_bytes`` is the component table's size in memory, if known.
     """
     measures = [c for c in component_table.columns if c != component_id]
-    joined = attach(slots, component_table, component, component_id, skew=skew)
+    joined, times = _with_measures(
+        slots, component_table, key, component, component_id, quantity, "left", skew, table_bytes
+    )
     quantities: list[Column] = [F.sum(by_name(quantity)).alias("total_components")]
     names = ["total_components"]
     if vocab is not None:
@@ -230,7 +280,7 @@ def bill_rollup(
         names += [f"{prefix}{label}" for label in vocab.labels]
     require_unique([key, *names, *measures])
     return joined.groupBy(by_name(key)).agg(
-        *quantities, *[F.sum(by_name(m)).alias(m) for m in measures]
+        *quantities, *[_summed(m, times).alias(m) for m in measures]
     )
 
 

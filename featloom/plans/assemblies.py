@@ -33,7 +33,7 @@ from featloom.operators.rollup import (
     spec_counts,
 )
 from featloom.plans.recipes import RECIPES, AttributeRecipe
-from featloom.session import in_parallel, materialize
+from featloom.session import in_parallel, materialize_measured
 
 KEY = "tube_assembly_id"
 END_FLAGS = ("end_a_1x", "end_a_2x", "end_x_1x", "end_x_2x")
@@ -160,15 +160,16 @@ def bill_features(
     key: str = KEY,
 ) -> DataFrame:
     """Bill of materials to one row per assembly, by one join and one aggregation."""
-    vocab, table = in_parallel([
+    vocab, (table, table_bytes) = in_parallel([
         lambda: fit_column_vocab(
             bill, COMPONENT_SLOTS["component"], cutoffs.component, "RareComponent", cutoffs.max_values
         ),
-        # Written out, the table has a measured size: Spark broadcasts it to the slots
-        # if it is small, and sorts both sides if it is not.
-        lambda: materialize(component_table(tables, cutoffs, recipes), "components"),
+        # Its size in memory is taken on the way and decides how the slots meet it.
+        lambda: materialize_measured(component_table(tables, cutoffs, recipes), "components"),
     ])
-    return bill_rollup(bill_slots(bill, key), table, key, vocab, prefix="component_")
+    return bill_rollup(
+        bill_slots(bill, key), table, key, vocab, prefix="component_", table_bytes=table_bytes
+    )
 
 
 def assembly_features(

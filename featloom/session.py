@@ -8,7 +8,9 @@ from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from typing import TypeVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as st
 
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -69,6 +71,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+# Types whose values lie in the fixed part of a row, eight bytes each.
+_FIXED = (st.BooleanType, st.ByteType, st.ShortType, st.IntegerType, st.LongType, st.FloatType,
+          st.DoubleType, st.DateType, st.TimestampType, st.TimestampNTZType)
+
+
+def row_bytes(schema: st.StructType) -> Column:
+    """Bytes a row takes in memory: eight for each column, a bit for its null, and its text.
+
+    Texts are rounded up to eight bytes.  Files hold the same columns much smaller where
+    values repeat or are null.  Nested columns are refused.
+    """
+    fixed = 8 * ((len(schema) + 63) // 64) + 8 * len(schema)
+    total = F.lit(fixed).cast("long")
+    for field in schema:
+        if isinstance(field.dataType, (st.StringType, st.BinaryType)):
+            size = F.octet_length(F.col("`" + field.name.replace("`", "``") + "`"))
+            total = total + F.coalesce(F.ceil(size / 8) * 8, F.lit(0))
+        elif isinstance(field.dataType, st.DecimalType):
+            total = total + 16
+        elif not isinstance(field.dataType, _FIXED):
+            raise TypeError(f"{field.name}: no size of {field.dataType.simpleString()}")
+    return total
+
+
+def materialize_measured(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """:func:`materialize`, and the bytes of all rows in memory, summed while they are written."""
+    seen = Observation()
+    size = F.coalesce(F.sum(row_bytes(df.schema)), F.lit(0)).alias("bytes")
+    return materialize(df.observe(seen, size), name), seen.get["bytes"]
+
+
 def in_parallel(calls: Iterable[Callable[[], T]], threads: int = 8) -> list[T]:
     """Run independent fits side by side; each is a small job that waits on the cluster."""
     calls = list(calls)
