@@ -22,6 +22,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def bind(value: Column, use) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fresh(df: DataFrame, *stems: str) -> list[str]:
     """Column names that ``df`` does not have, for columns added on the way."""
     taken = {c.lower() for c in df.columns}

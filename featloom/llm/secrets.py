@@ -6,14 +6,18 @@ whose pairs of characters are likelier, by ``threshold`` nats a pair on average,
 model of random strings than under one of ordinary identifiers.  Letters are compared in
 lower case.  A run that touches a base span is left to it.
 
-Both models are trained on labelled runs of at most ``sample`` documents (those with the
-least hash of their id): a run inside a base span is random, every other run of six or
-more characters is ordinary.  Counts are aggregated by Spark; the driver gets one array
-of log ratios, as long as the alphabet squared.  Everything runs as built-in
-expressions, and every whole text is scanned in one pass without a shuffle.
+Both models are trained on labelled strings: a table given by the caller, or those found
+in at most ``sample`` documents (with the least hash of their id).  There the values of
+base spans are random, without the keyword before them, and runs of six or more
+characters outside base spans are ordinary, secrets that no pattern knows among them, so
+a table is better where those are many.  Counts are aggregated by Spark; the driver
+gets one array of log ratios, as long as the alphabet squared.  Everything runs as
+built-in expressions, and every whole text is scanned without a shuffle.
 
 Positions come from splitting a text at a pattern: the pieces between the matches and
-the matches themselves, added up, say where each match starts, in code points.
+the matches themselves, added up in blocks, say where each match starts, in code points.
+Time grows with the length of a text, also of one run, and only a block's share with the
+number of matches in it.
 
 Defined cases: a null text is empty; without any run to learn from no span is added;
 repeated rows are scanned alike; an empty table gives no rows; other columns are not
@@ -27,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featloom.llm.common import lower_ascii
+from featloom.llm.common import bind, lower_ascii
 
 # Fixed values of the contract.
 ASSIGN = (
@@ -46,17 +50,25 @@ RUN = "[A-Za-z0-9+/_=-]"
 SAMPLE = 4000
 LEAST_LENGTH = 20
 THRESHOLD = 0.5
+# Matches that are placed together, and the character that stands for assign spans.
+BLOCK = 256
+HIDDEN = "\x01"
 
 _SPAN = "struct<kind:int,start:int,end:int,value:string>"
 
 
-def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
-    """All leftmost matches as (kind, start, end, value of the group), in order."""
+def _pieces(text: Column, pattern: str, group: int = 0) -> Column:
+    """(between, whole, value): what stands before each match, the match, and its group."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    between = F.split(text, pattern, -1)
-    steps = F.arrays_zip(between.alias("between"), whole.alias("whole"), value.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    return F.arrays_zip(
+        F.split(text, pattern, -1).alias("between"), whole.alias("whole"), value.alias("value")
+    )
+
+
+def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
+    """All leftmost matches as (kind, start, end, value of the group), in order."""
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def add(acc, x):
         start = acc["at"] + F.length(x["between"])
@@ -68,10 +80,26 @@ def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
         out = F.when(x["whole"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(span)))
         return F.struct(end.alias("at"), out.alias("out"))
 
-    found = F.aggregate(steps, empty, add, lambda acc: acc["out"])
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(
-        F.array().cast(f"array<{_SPAN}>")
-    )
+    def shift(acc, block):
+        moved = F.transform(block["out"], lambda s: F.struct(
+            s["kind"].alias("kind"), (s["start"] + acc["at"]).alias("start"),
+            (s["end"] + acc["at"]).alias("end"), s["value"].alias("value"),
+        ))
+        return F.struct(
+            (acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out")
+        )
+
+    def spans(steps):
+        # Appending copies what is there, so spans are placed within blocks first.
+        first = F.sequence(F.lit(1), F.size(steps), F.lit(BLOCK))
+        blocks = F.transform(first, lambda i: F.aggregate(
+            F.slice(steps, i, BLOCK), F.struct(F.lit(0).alias("at"), none.alias("out")), add
+        ))
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("out"))
+        return F.flatten(F.aggregate(blocks, empty, shift, lambda acc: acc["out"]))
+
+    found = bind(_pieces(text, pattern, group), spans)
+    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(none)
 
 
 def base_spans(text: Column) -> tuple[Column, Column, Column]:
@@ -89,33 +117,71 @@ def _with_base(documents: DataFrame) -> DataFrame:
     ).withColumn("base", F.sort_array(F.concat("assign", "access", "hex")))
 
 
-def _touches(span: Column, others: Column) -> Column:
-    return F.exists(others, lambda b: (span["start"] < b["end"]) & (b["start"] < span["end"]))
+def _hide_assigned(text: Column) -> Column:
+    """The text with each assign span overwritten by as many of one character not in it."""
+    free = F.when(F.contains(text, F.lit(HIDDEN)), F.translate(text, HIDDEN, "\n")).otherwise(text)
+    return F.array_join(
+        F.transform(
+            _pieces(free, ASSIGN, 2),
+            lambda x: F.concat(
+                x["between"],
+                F.when(x["whole"].isNull(), F.lit(""))
+                .when(F.length(x["value"]) >= LEAST_VALUE, F.repeat(F.lit(HIDDEN), F.length(x["whole"])))
+                .otherwise(x["whole"]),
+            ),
+        ),
+        "",
+    )
 
 
-def log_ratios(documents: DataFrame, sample: int = SAMPLE, least: int = LEAST_VALUE) -> Column | None:
-    """By pair of characters, log of its chance in random strings over identifiers.
+def _hides_other(run: Column) -> Column:
+    """Whether a run holds an access or hex span; those never leave a run."""
+    return F.rlike(run, F.lit(f"AKIA[A-Z0-9]{{{LEAST_ACCESS - 4},}}|{HEX}"))
 
-    Chances are of the second character after the first, with one added to each count.
-    """
+
+def labelled_strings(
+    documents: DataFrame, sample: int = SAMPLE, least: int = LEAST_VALUE
+) -> DataFrame:
+    """(text, random): distinct strings of ``sample`` documents, labelled by the base patterns."""
     chosen = (
         documents.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
+    # At most ``sample`` ids.
     chosen = F.broadcast(chosen.withColumnRenamed("doc_id", "id"))
     read = _with_base(
         documents.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("id"))
     )
-    runs = read.select("base", F.explode(matches(F.col("text"), f"{RUN}{{{least},}}", 3)).alias("run"))
-    labelled = runs.select(
-        lower_ascii(F.col("run.value")).alias("text"), _touches(F.col("run"), F.col("base")).alias("random")
-    ).distinct().withColumnRenamed("text", "run")
-    places = F.explode(F.sequence(F.lit(1), F.length("run") - 1)).alias("at")
-    pairs = labelled.select("random", "run", places).select(
-        "random",
-        (F.instr(F.lit(ALPHABET), F.substr("run", F.col("at"), F.lit(1))) - 1).alias("a"),
-        (F.instr(F.lit(ALPHABET), F.substr("run", F.col("at") + 1, F.lit(1))) - 1).alias("b"),
+    runs = F.regexp_extract_all(_hide_assigned(F.col("text")), F.lit(f"{RUN}{{{least},}}"), F.lit(0))
+    both = F.concat(
+        F.transform("base", lambda s: F.struct(s["value"].alias("text"), F.lit(True).alias("random"))),
+        F.transform(
+            F.filter(runs, lambda r: ~_hides_other(r)),
+            lambda r: F.struct(r.alias("text"), F.lit(False).alias("random")),
+        ),
     )
+    return read.select(F.inline(both)).distinct()
+
+
+def _codes(text: Column) -> Column:
+    """Numbers of the characters in the alphabet, in lower case; -1 for any other."""
+    return F.transform(
+        F.split(lower_ascii(text), ""), lambda c: F.instr(F.lit(ALPHABET), c).cast("int") - 1
+    )
+
+
+def log_ratios(labelled: DataFrame) -> Column | None:
+    """By pair of characters, log of its chance in random strings over ordinary ones.
+
+    Chances are of the second character after the first, with one added to each count.
+    ``labelled`` has (text, random), of any size; None if it lacks one of the two labels.
+    """
+    known = labelled.where(F.col("text").isNotNull() & F.col("random").isNotNull())
+    codes = known.select("random", _codes(F.col("text")).alias("codes"))
+    pairs = codes.select(
+        "random",
+        F.inline(F.arrays_zip(F.col("codes").alias("a"), F.expr("slice(codes, 2, size(codes))").alias("b"))),
+    ).where("a >= 0 and b >= 0")
     # At most twice the alphabet squared rows.
     counts = pairs.groupBy("random", "a", "b").agg(F.count(F.lit(1)).alias("n")).collect()
     if {r.random for r in counts} != {True, False}:
@@ -132,14 +198,10 @@ def log_ratios(documents: DataFrame, sample: int = SAMPLE, least: int = LEAST_VA
 
 
 def random_score(run: Column, ratios: Column) -> Column:
-    """Mean log ratio over the pairs of a run in lower case."""
-    codes = F.transform(
-        F.sequence(F.lit(1), F.length(run)),
-        lambda i: F.instr(F.lit(ALPHABET), F.substr(run, i, F.lit(1))) - 1,
-    )
+    """Mean log ratio over the pairs of a run, all of it in the alphabet, in lower case."""
     start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
     total = F.aggregate(
-        codes,
+        _codes(run),
         start,
         lambda acc, c: F.struct(
             c.alias("last"),
@@ -157,23 +219,28 @@ def scan(
     sample: int = SAMPLE,
     least_length: int = LEAST_LENGTH,
     threshold: float = THRESHOLD,
+    labelled: DataFrame | None = None,
 ) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, n_markov, spans)."""
-    ratios = log_ratios(documents, sample)
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, n_markov, spans).
+
+    ``labelled`` is (text, random) to train on; without it the documents give their own.
+    """
+    ratios = log_ratios(labelled_strings(documents, sample) if labelled is None else labelled)
     read = _with_base(documents)
     if ratios is None:
         added = F.array().cast(f"array<{_SPAN}>")
     else:
-        likely = f"{RUN}{{{least_length},}}"
+        # Whole runs, but for those that go on into an assign span.
+        likely = f"(?<!{RUN}){RUN}{{{least_length},}}+(?!{HIDDEN})"
 
         def random(s):
-            run = lower_ascii(s["value"])
+            run = s["value"]
             return (
-                F.rlike(run, F.lit("[a-z]")) & F.rlike(run, F.lit("[0-9]"))
-                & ~_touches(s, F.col("base")) & (random_score(run, ratios) >= threshold)
+                F.rlike(run, F.lit("[A-Za-z]")) & F.rlike(run, F.lit("[0-9]"))
+                & ~_hides_other(run) & (random_score(run, ratios) >= threshold)
             )
 
-        read = read.withColumn("runs", matches(F.col("text"), likely, 3))
+        read = read.withColumn("runs", matches(_hide_assigned(F.col("text")), likely, 3))
         added = F.filter(F.col("runs"), random)
     read = read.withColumn("added", added)
     return read.select(
