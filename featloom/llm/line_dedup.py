@@ -1,10 +1,11 @@
 """Line dedup by winnowing over line hashes.
 
 A text's units are its lines that have a word, without the space around them.  Of each
-window of ``window`` unit hashes the least is selected, so that any run of that many
-lines which repeats anywhere has a selected line in common with its repeat; a line of
-``long_words`` words or more is always selected.  Selected lines whose hash occurs more
-than once carry the windows around them, windows are joined by content to their first
+window of ``window`` unit hashes the least is selected, the last of equal ones, so that
+any run of that many lines which repeats anywhere has a selected line in common with its
+repeat; a line of ``long_words`` words or more is always selected.  Only selected lines
+become rows, each with the windows that chose it.  A hash that stands at one place only
+ends there, with its windows.  The others' windows are joined by content to their first
 place in the corpus, and every line of a window that has an earlier one goes.  Windows
 of a longer run overlap, which extends a match in both directions as far as it holds.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from featloom.llm.common import WORDS, fresh, text_key
+from featloom.llm.common import WORDS, bind, fresh, text_key
 from featloom.session import materialize
 
 WINDOW = 3
@@ -38,6 +39,46 @@ def units(text: Column) -> Column:
     return F.coalesce(F.filter(trimmed, lambda line: line != ""), F.array().cast("array<string>"))
 
 
+def _selected(window: int) -> Column:
+    """(mark, at, windows) of the selected units, from the columns h, g and is_long.
+
+    A window is (at, length, k1, k2): where it starts, its units, and 128 bits of them.
+    """
+    kind = "array<struct<at:int,length:int,k1:bigint,k2:bigint>>"
+    n = F.size("h")
+    starts = F.when(n >= window, F.sequence(F.lit(0), n - window)).otherwise(F.array().cast("array<int>"))
+
+    def chosen(i: Column) -> Column:
+        """The window at i, and its least hash's last place."""
+        least = F.least(*[
+            F.struct(F.get(F.col("h"), i + j).alias("h"), (-(i + j)).alias("at")) for j in range(window)
+        ])
+        return F.struct(
+            (-least["at"]).alias("by"),
+            F.struct(
+                i.alias("at"), F.lit(window).alias("length"),
+                F.xxhash64(*[F.get(F.col("h"), i + j) for j in range(window)]).alias("k1"),
+                F.xxhash64(F.lit(1), *[F.get(F.col("g"), i + j) for j in range(window)]).alias("k2"),
+            ).alias("window"),
+        )
+
+    def mark(h: Column, p: Column, spans: Column, long: Column) -> Column:
+        around = F.slice(spans, F.greatest(p - window + 1, F.lit(0)) + 1, F.lit(window))
+        own = F.transform(F.filter(around, lambda s: s["by"] == p), lambda s: s["window"])
+        single = F.array(F.struct(
+            p.alias("at"), F.lit(1).alias("length"), h.alias("k1"), F.get(F.col("g"), p).alias("k2")
+        ))
+        alone = F.when(F.get(long, p), single).otherwise(F.array().cast(kind))
+        return F.struct(h.alias("mark"), p.alias("at"), F.concat(own, alone).cast(kind).alias("windows"))
+
+    if window == 1:
+        spans, long = F.array().cast(f"array<struct<by:int,window:{kind[6:-1]}>>"), F.transform("h", lambda h: F.lit(True))
+    else:
+        spans, long = F.transform(starts, chosen), F.col("is_long")
+    marks = bind(spans, lambda s: bind(long, lambda l: F.transform("h", lambda h, p: mark(h, p, s, l))))
+    return F.filter(marks, lambda m: F.size(m["windows"]) > 0)
+
+
 def repeats(documents: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """(doc_id, text_key, removed): numbers, from 0, of the units to delete."""
     lines = documents.select("doc_id", text_key(F.col("text")).alias("text_key"), units(F.col("text")).alias("u"))
@@ -48,39 +89,14 @@ def repeats(documents: DataFrame, window: int = WINDOW, long_words: int = LONG_W
         F.transform("u", lambda x: F.xxhash64(x, F.lit(1))).alias("g"),
         F.transform("u", lambda x: (F.length(x) >= 2 * long_words - 1) & (F.regexp_count(x, F.lit(WORDS)) >= long_words)).alias("is_long"),
     )
-    n = F.size("h")
-    starts = F.when(n >= window, F.sequence(F.lit(0), n - window)).otherwise(F.array().cast("array<int>"))
-    # Least hash of each window and the window's own 128 bits.
-    spans = F.transform(
-        starts,
-        lambda i: F.struct(
-            F.least(*[F.get(F.col("h"), i + j) for j in range(window)]).alias("mark"),
-            i.alias("at"),
-            F.lit(window).alias("length"),
-            F.xxhash64(*[F.get(F.col("h"), i + j) for j in range(window)]).alias("k1"),
-            F.xxhash64(F.lit(1), *[F.get(F.col("g"), i + j) for j in range(window)]).alias("k2"),
-        ),
-    ) if window > 1 else F.array().cast("array<struct<mark:bigint,at:int,length:int,k1:bigint,k2:bigint>>")
-    single = F.filter(
-        F.transform(
-            F.col("h"),
-            lambda h, i: F.struct(
-                h.alias("mark"), i.alias("at"), F.lit(1).alias("length"), h.alias("k1"),
-                F.get(F.col("g"), i).alias("k2"),
-            ),
-        ),
-        lambda s: F.get(F.col("is_long"), s["at"]) if window > 1 else F.lit(True),
-    )
-    marked = hashed.select("doc_id", "text_key", F.explode(F.concat(spans, single)).alias("s"))
-    marked = materialize(marked.select("doc_id", "text_key", "s.*"), "line-windows")
+    marked = hashed.select("doc_id", "text_key", F.inline(_selected(window)))
+    marked = materialize(marked, "line-marks")
 
-    # Fingerprints that occur more than once: a window with any other is nowhere else.
-    selected = marked.select("mark", "doc_id", "text_key", "at", "length")
-    common = selected.groupBy("mark").agg(
-        F.min(F.struct("doc_id", "text_key", "at", "length")).alias("a"),
-        F.max(F.struct("doc_id", "text_key", "at", "length")).alias("b"),
-    ).where(F.col("a") != F.col("b")).select("mark")
-    likely = marked.join(common, "mark", "left_semi")
+    # Selected lines that stand at more than one place: the windows of any other are nowhere else.
+    position = F.struct("doc_id", "text_key", "at")
+    common = marked.groupBy("mark").agg(F.min(position).alias("a"), F.max(position).alias("b"))
+    common = common.where(F.col("a") != F.col("b")).select("mark")
+    likely = marked.join(common, "mark", "left_semi").select("doc_id", "text_key", F.inline("windows"))
 
     place = F.struct("doc_id", "text_key", "at")
     first = likely.groupBy("length", "k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -95,20 +111,14 @@ def repeats(documents: DataFrame, window: int = WINDOW, long_words: int = LONG_W
 
 def _kept_text(text: Column, removed: Column) -> Column:
     """The text without the units of those numbers; other lines as they stand."""
-    lines = F.transform(
-        F.split(text, "\n"),
-        lambda line: F.struct(line.alias("line"), (F.regexp_replace(line, _AROUND, "") != "").alias("unit")),
-    )
-    numbered = F.aggregate(
-        lines,
-        F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept")),
-        lambda acc, x: F.struct(
-            (acc["n"] + x["unit"].cast("int")).alias("n"),
-            F.when(x["unit"] & F.array_contains(removed, acc["n"]), acc["kept"])
-            .otherwise(F.concat(acc["kept"], F.array(x["line"]))).alias("kept"),
-        ),
-    )
-    return F.array_join(numbered["kept"], "\n")
+    def left(lines: Column) -> Column:
+        numbers = F.transform(lines, lambda x, i: F.when(F.regexp_replace(x, _AROUND, "") != "", i))
+        units_at = F.filter(numbers, lambda i: i.isNotNull())
+        gone = bind(units_at, lambda at: F.transform(removed, lambda r: F.get(at, r)))
+        kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+    return bind(F.split(text, "\n"), left)
 
 
 def dedup(documents: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -425,6 +426,32 @@ def test_line_dedup(spark):
     assert line_dedup.summary(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("window", [1, 2, 4])
+def test_line_dedup_of_other_windows(spark, window):
+    pick = random.Random(window)
+    pool = [f"line {i}" for i in range(9)] + [" ".join(f"long{i}" for i in range(9)), "", " x "]
+    rows = [(i, "\n".join(pick.choice(pool) for _ in range(pick.randrange(14)))) for i in range(40)]
+    out = line_dedup.summary(docs_of(spark, rows), window=window, long_words=8).collect()
+    assert sorted(((str(r[0]), *r[1:]) for r in out), key=str) == lines_slow(rows, window, 8)
+
+
+def test_a_line_at_one_place_makes_no_window(spark):
+    """Rows are selected lines, about half of all, and a line of its own joins nothing."""
+    rows = [(i, "\n".join(f"line {i} {j}" for j in range(60))) for i in range(30)]
+    frame = docs_of(spark, rows + [(99, rows[3][1]), (100, None)])
+    gone = line_dedup.repeats(frame)
+    assert [(r.doc_id, sorted(r.removed)) for r in gone.collect()] == [(99, list(range(60)))]
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    lines = [f"line number {i}" for i in range(60_000)]
+    frame = docs_of(spark, [(1, "\n".join(lines)), (2, "\n".join(["first", *lines, "last"]))])
+    began = time.time()
+    out = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in line_dedup.summary(frame).collect()}
+    assert time.time() - began < 120
+    assert out[1][:2] == (60_000, 0) and out[2] == (60_002, 60_000, "first\nlast")
+
+
 # ---- mixing
 
 
