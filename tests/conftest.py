@@ -8,7 +8,9 @@ def spark():
     session = build_session(
         "tests", "local[4]",
         **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-           "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "4g"},
+           "spark.ui.showConsoleProgress": "false",
+           # tests count executions, of which Spark keeps 1000 otherwise
+           "spark.sql.ui.retainedExecutions": "100000", "spark.driver.memory": "4g"},
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
