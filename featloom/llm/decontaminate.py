@@ -70,10 +70,32 @@ def winnow(hashes: Column, w: int) -> Column:
     ).otherwise(F.array().cast("array<bigint>"))
 
 
-def _kept_hashes(texts: DataFrame, k: int, w: int) -> DataFrame:
-    """The columns of ``texts`` but its words ``w``, and each hash that is kept."""
-    hashed = texts.withColumn("g", gram_hashes(F.col("w"), k))
-    return hashed.withColumn("hash", F.explode(winnow(F.col("g"), w))).drop("w", "g")
+def _with_grams(worded: DataFrame, lengths: list[int]) -> DataFrame:
+    """``worded`` and a column of hashes for each ``k`` that the lengths ask for.
+
+    Words, hashes and minima are columns of their own: an expression used inside a lambda
+    would be worked out again for every element.
+    """
+    grams = {f"g{k}": gram_hashes(F.col("w"), k) for k in sorted({gram_and_window(n)[0] for n in lengths})}
+    return worded.select("*", *[g.alias(name) for name, g in grams.items()])
+
+
+def _kept_hashes(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """The columns of ``texts`` but its words ``w``, and each (length, hash) that is kept.
+
+    The words are taken apart once for all lengths.
+    """
+    kept = []
+    for length in lengths:
+        k, w = gram_and_window(length)
+        named = F.lit(length).alias("length")
+        kept.append(F.transform(winnow(F.col(f"g{k}"), w), lambda h: F.struct(named, h.alias("hash"))))
+    others = [c for c in texts.columns if c != "w"]
+    return (
+        _with_grams(texts, lengths)
+        .select(*others, F.explode(F.flatten(F.array(*kept))).alias("kept"))
+        .select(*others, "kept.length", "kept.hash")
+    )
 
 
 def gram_and_window(length: int, gram: int = GRAM) -> tuple[int, int]:
@@ -94,85 +116,93 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+def _hashes(length: int) -> Column:
+    """The kept hashes of that length among a document's seeds."""
+    return F.transform(F.filter("seeds", lambda s: s["length"] == length), lambda s: s["hash"])
+
+
+def _starts(length: int) -> Column:
+    """Where windows of the length start that hold a place with one of its hashes, each once."""
+    k, w = gram_and_window(length)
+    grams, hashes, last = F.col(f"g{k}"), F.col(f"h{length}"), F.size("w") - length
+    places = F.when(
+        (F.size(grams) > 0) & (F.size(hashes) > 0),
+        F.filter(
+            F.sequence(F.lit(0), F.size(grams) - 1),
+            lambda i: F.array_contains(hashes, F.get(grams, i)),
+        ),
+    ).otherwise(F.array().cast("array<int>"))
+    around = lambda p: F.when(
+        F.greatest(p - (w - 1), F.lit(0)) <= F.least(p, last),
+        F.sequence(F.greatest(p - (w - 1), F.lit(0)), F.least(p, last)),
+    ).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.flatten(F.transform(places, around)))
+
+
+def _windows(length: int) -> Column:
+    """The windows at the starts, with their words."""
+    return F.transform(
+        F.col(f"s{length}"),
+        lambda i: F.struct(
+            F.lit(length).alias("length"), i.alias("at"),
+            F.array_join(F.slice("w", i + 1, F.lit(length)), " ").alias("span"),
+        ),
+    )
+
+
 def find_hits(documents: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_key, n_hit, item_ids) of documents with a word inside a window."""
     spans = materialize(item_windows(items, window), "item-windows")
     lengths = sorted(r.length for r in spans.select("length").distinct().collect())
-    docs = documents.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
-
-    seeds = None
-    for length in lengths:
-        k, w = gram_and_window(length)
-        # Words, hashes and minima are columns of their own: an expression used inside a
-        # lambda would be worked out again for every element.
-        wanted = _kept_hashes(
-            spans.where(F.col("length") == length).select(F.split("span", " ").alias("w")), k, w
-        ).distinct()
-        kept = _kept_hashes(
-            docs.select("doc_id", "text_key", words_of(F.col("text")).alias("w")), k, w
-        )
-        found = kept.join(wanted, "hash", "left_semi").select(
-            "doc_id", "text_key", F.lit(length).alias("length"), "hash"
-        )
-        seeds = found if seeds is None else seeds.unionByName(found)
-    if seeds is None:
+    if not lengths:
         return documents.sparkSession.createDataFrame(
             [], "doc_id bigint, text_key bigint, n_hit bigint, item_ids array<string>"
         )
+    docs = documents.select("doc_id", "text", text_key(F.col("text")).alias("text_key"))
+
+    wanted = None
+    for length in lengths:
+        own = spans.where(F.col("length") == length).select(F.split("span", " ").alias("w"))
+        own = _kept_hashes(own, [length])
+        wanted = own if wanted is None else wanted.unionByName(own)
+    kept = _kept_hashes(docs.select("doc_id", "text_key", words_of(F.col("text")).alias("w")), lengths)
     # At most the kept hashes of one document, and those that some item has.
     seeds = materialize(
-        seeds.groupBy("doc_id", "text_key", "length").agg(F.collect_set("hash").alias("hashes")),
+        kept.join(wanted.distinct(), ["length", "hash"], "left_semi")
+        .groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("length", "hash")).alias("seeds")),
         "benchmark-seeds",
     )
 
+    # Repeated rows of a document give the same windows again, which count once below; so
+    # no text is moved to tell them apart.
     near = docs.join(
         seeds.withColumnRenamed("doc_id", "d").withColumnRenamed("text_key", "t"),
         F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("t")),
     )
-    near = near.dropDuplicates(["doc_id", "text_key", "length"])
-    candidates = None
-    for length in lengths:
-        k, w = gram_and_window(length)
-        own = near.where(F.col("length") == length).select(
-            "doc_id", "text_key", "length", "hashes", words_of(F.col("text")).alias("w")
-        )
-        own = own.withColumn("g", gram_hashes(F.col("w"), k))
-        places = F.filter(
-            F.sequence(F.lit(0), F.size("g") - 1),
-            lambda i: F.array_contains(F.col("hashes"), F.get(F.col("g"), i)),
-        )
-        last = F.size("w") - length
-        own = own.withColumn("places", places)
-        starts = F.array_distinct(
-            F.flatten(
-                F.transform(
-                    F.col("places"),
-                    lambda p: F.when(
-                        F.greatest(p - (w - 1), F.lit(0)) <= F.least(p, last),
-                        F.sequence(F.greatest(p - (w - 1), F.lit(0)), F.least(p, last)),
-                    ).otherwise(F.array().cast("array<int>")),
-                )
-            )
-        )
-        at = own.select("doc_id", "text_key", "length", "w", F.explode(starts).alias("at")).select(
-            "doc_id", "text_key", "length", "at",
-            F.array_join(F.slice("w", F.col("at") + 1, F.lit(length)), " ").alias("span"),
-        )
-        candidates = at if candidates is None else candidates.unionByName(at)
-
-    # One row per span: how often it is used does not multiply the documents' rows.
-    known = spans.groupBy("span").agg(
-        F.collect_set(F.col("item_id").cast("string")).alias("item_ids"),
-        F.collect_set("length").alias("lengths"),
+    near = near.select(
+        "doc_id", "text_key", words_of(F.col("text")).alias("w"), *[_hashes(n).alias(f"h{n}") for n in lengths]
+    )
+    near = _with_grams(near, lengths)
+    near = near.select("*", *[_starts(n).alias(f"s{n}") for n in lengths])
+    # A window leaves with its own words only, not with all of the text's.
+    windows = F.flatten(F.array(*[_windows(n) for n in lengths]))
+    candidates = near.select(
+        "doc_id", "text_key", F.explode(windows).alias("window")
+    ).select("doc_id", "text_key", "window.length", "window.at", "window.span")
+
+    hits = materialize(
+        candidates.join(spans.select("length", "span").distinct(), ["length", "span"], "left_semi"),
+        "benchmark-windows",
     )
-    hits = candidates.join(known, "span").where(F.array_contains("lengths", F.col("length")))
     covered = F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1))
     words = (
         hits.select("doc_id", "text_key", covered.alias("word")).distinct()
         .groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n_hit"))
     )
+    # One row per span: how often it is used does not multiply the documents' rows.
+    known = spans.groupBy("span").agg(F.collect_set(F.col("item_id").cast("string")).alias("item_ids"))
     named = (
-        hits.select("doc_id", "text_key", "span", "item_ids").dropDuplicates(["doc_id", "text_key", "span"])
+        hits.select("doc_id", "text_key", "span").distinct().join(known, "span")
         .select("doc_id", "text_key", F.explode("item_ids").alias("item")).distinct()
         .groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list("item")).alias("item_ids"))
         .select(F.col("doc_id").alias("d"), F.col("text_key").alias("t"), "item_ids")

@@ -341,6 +341,26 @@ def test_decontamination(spark):
     assert decontaminate.judge(frame, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_takes_texts_apart_twice(spark):
+    """Once for the hashes of all lengths, once around their places; hits are not made again."""
+    items = [(1, "a"), (2, "b c d"), (3, " ".join(f"w{i}" for i in range(13)))]
+    docs = [(i, f"x {items[i % 3][1]} y") for i in range(12)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    frame = docs_of(spark, [*docs, docs[0]])
+    frame = frame.mapInArrow(counted, frame.schema)
+    hits = decontaminate.find_hits(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.n_hit, *r.item_ids) for r in hits) == [
+        (i, (1, 3, 13)[i % 3], str(i % 3 + 1)) for i in range(12)
+    ]
+    assert read.value == 2 * 13
+
+
 # ---- quality
 
 
