@@ -98,7 +98,9 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     index = prints.select("fp", entry.alias("entry")).select("fp", "entry.choice", "entry.bytes")
     a = index.withColumnRenamed("fp", "a")
     b = index.withColumnRenamed("fp", "b")
-    pairs = a.join(b, ["choice", "bytes"]).where(F.col("a") < F.col("b"))
+    # Spark sizes the index as the prints it is exploded from, though it has a row for each
+    # choice: without the hint it sends out a table that is many times as large as it takes it for.
+    pairs = a.join(b.hint("merge"), ["choice", "bytes"]).where(F.col("a") < F.col("b"))
     same = [(_byte(F.col("a"), p) == _byte(F.col("b"), p)) for p in range(8)]
     shared = sum((s.cast("int") for s in same[1:]), same[0].cast("int"))
     first = F.lit(len(choices))
