@@ -10,13 +10,14 @@ is, so its count is one row of the roll-up, and the count by language is the num
 words.  No n-grams of other lengths are ever made.
 
 Most windows are rare to the point of being unique, and a phrase is wanted only if it
-occurs ``least`` times.  So a first pass counts the hashes of two and of three words in
-``SLOTS`` slots each, added up over all of the corpus and cut off at ``least``.  A slot below
-``least`` holds no frequent phrase, and a window is padded from the first word on that would
-make it hold one of those: every longer phrase through it is rare as well.  What is padded
-away is never a phrase that is kept, so the counts are exact, at any size of the corpus;
-a corpus too large for the slots only leaves more windows whole.  The slots that reach
-``least`` are bits, ``SLOTS / 4`` bytes in all, and go to every task.
+occurs ``least`` times.  So a first pass counts the hashes of two to five words in slots,
+added up over all of the corpus and cut off at ``least``.  A slot below ``least`` holds no
+frequent phrase, and a window is padded from the first word on that would make it hold one
+of those: every longer phrase through it is rare as well.  What is padded away is never a
+phrase that is kept, so the counts are exact, at any size of the corpus.  There are as many
+slots as keep the rare phrases of one well below ``least`` together: few slots would all
+reach it in a large corpus and leave its windows whole.  Their number is bounded; beyond,
+more windows stay whole.  The slots that reach ``least`` are bits and go to every task.
 
 Tasks add up equal windows of their documents, in bounded tables, before the shuffle.
 
@@ -41,13 +42,17 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 UNKNOWN = "und"
-SLOTS = 1 << 22
-ORDERS = (2, 3)  # lengths of phrases that are counted by hash first
+SLOTS = 1 << 22  # at least; with more words than they are made for, twice as many, and so on
+MOST_SLOTS = 1 << 26  # a byte of a task's memory for each order
+SHARE = 8  # of ``least``: occurrences a slot is made for
+WORD_BYTES = 8  # of text, a word and what parts it from the next
+ORDERS = (2, 3, 4, 5)  # lengths of phrases that are counted by hash first
 _CHUNK = 1 << 20  # words looked at together in a task
 _PART = 1 << 16  # slots in a row
 _MOST_WORDS = 1 << 20  # numbered in a task before the numbering begins again
 _MOST_WINDOWS = 1 << 21  # held in a task before they are passed on
 _ROWS = 1 << 16  # in a batch
+_PARTS = 64  # of slots, in a batch
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _WORDS = [f"w{i}" for i in range(1, LONGEST + 1)]
 
@@ -119,34 +124,39 @@ def _slots(langs: list[str], code: np.ndarray, number: np.ndarray, words: _Numbe
             yield at, (h[at] >> shift).astype(np.int64)
 
 
+def _kind(least: int):
+    return np.uint8 if least < 256 else np.uint32
+
+
 def _sketcher(least: int, slots: int):
-    kind = np.uint8 if least < 256 else np.uint32
+    kind = _kind(least)
 
     def work(batches):
-        totals = np.zeros((len(ORDERS), slots), np.uint32)
+        totals = np.zeros((len(ORDERS), slots), kind)
         for *chunk, _ in _chunks(batches):
             for order, (_, slot) in enumerate(_slots(*chunk, slots)):
-                totals[order] = np.minimum(totals[order] + np.bincount(slot, minlength=slots), least)
-        rows = [
-            (order * (slots // _PART) + i, part.astype(kind).tobytes())
-            for order in range(len(ORDERS)) for i, part in enumerate(totals[order].reshape(-1, _PART)) if part.any()
-        ]
-        yield pa.record_batch(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["part", "counts"]
-        )
+                at, more = np.unique(slot, return_counts=True)
+                totals[order, at] = np.minimum(totals[order, at] + more, least)
+        parts = totals.reshape(-1, _PART)
+        for start in range(0, len(parts), _PARTS):
+            numbers = [i for i in range(start, min(start + _PARTS, len(parts))) if parts[i].any()]
+            # Most slots of a task are empty.
+            counts = [pa.compress(parts[i].tobytes(), "zstd", asbytes=True) for i in numbers]
+            yield pa.record_batch([pa.array(numbers, pa.int32()), pa.array(counts, pa.binary())], ["part", "counts"])
 
     return work
 
 
 def _adder(least: int):
-    kind = np.uint8 if least < 256 else np.uint32
+    kind = _kind(least)
 
     def work(batches):
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, counts in zip(batch.column(0).to_pylist(), batch.column(1)):
-                more = np.frombuffer(counts.as_py(), kind).astype(np.uint32)
-                totals[part] = np.minimum(totals[part] + more, least) if part in totals else more
+                whole = pa.decompress(counts.as_py(), _PART * np.dtype(kind).itemsize, "zstd", asbytes=True)
+                more = np.frombuffer(whole, kind)
+                totals[part] = np.minimum(totals[part].astype(np.int64) + more, least).astype(kind) if part in totals else more
         bits = [np.packbits(t >= least).tobytes() for t in totals.values()]
         yield pa.record_batch([pa.array(list(totals), pa.int32()), pa.array(bits, pa.binary())], ["part", "bits"])
 
@@ -158,7 +168,7 @@ def frequent_slots(texts: DataFrame, least: int, slots: int) -> np.ndarray:
     sketched = texts.mapInArrow(_sketcher(least, slots), "part int, counts binary")
     added = sketched.repartition("part").mapInArrow(_adder(least), "part int, bits binary")
     out = np.zeros((len(ORDERS) * (slots // _PART), _PART // 8), np.uint8)
-    for row in added.collect():  # slots / 4 bytes at most
+    for row in added.collect():  # slots / 2 bytes at most
         out[row.part] = np.frombuffer(row.bits, np.uint8)
     return out.reshape(len(ORDERS), -1)
 
@@ -218,11 +228,20 @@ def _window_maker(bits: np.ndarray, slots: int):
     return work
 
 
-def phrase_counts(texts: DataFrame, least: int = LEAST, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+def enough_slots(texts: DataFrame, least: int) -> int:
+    """So many that the occurrences in one, mostly of rare phrases, stay well below ``least``."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = size // WORD_BYTES * SHARE // max(1, least)
+    return min(MOST_SLOTS // np.dtype(_kind(least)).itemsize, max(SLOTS, 1 << max(0, wanted - 1).bit_length()))
+
+
+def phrase_counts(texts: DataFrame, least: int = LEAST, slots: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of all phrases that occur ``least`` times, and (lang, n).
 
-    ``texts`` has columns text and lang, without nulls.
+    ``texts`` has columns text and lang, without nulls; None takes :func:`enough_slots`.
     """
+    if slots is None:
+        slots = enough_slots(texts, least)
     if slots & (slots - 1) or slots < _PART:
         raise ValueError(f"slots must be a power of two, {_PART} at least")
     bits = frequent_slots(texts, least, slots)
@@ -316,7 +335,7 @@ def _first(df: DataFrame, top: int) -> DataFrame:
     ).where(F.col("rank") <= top)
 
 
-def mine(documents: DataFrame, least: int = LEAST, top: int = TOP, slots: int = SLOTS) -> DataFrame:
+def mine(documents: DataFrame, least: int = LEAST, top: int = TOP, slots: int | None = None) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's strongest phrases."""
     texts = documents.where(F.col("text").isNotNull()).select(
         "text", F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang")

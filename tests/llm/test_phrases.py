@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from featloom.llm import phrases
@@ -80,6 +81,20 @@ def test_more_words_than_slots_stay_exact(spark):
     assert run(spark, rows, least=2, top=50, slots=1 << 16) == phrases_slow(rows, 2, 50)
 
 
+def test_slots_grow_with_the_words(spark, monkeypatch):
+    """A corpus with many words for each slot would fill all of them and pad nothing away."""
+    monkeypatch.setattr(phrases, "SLOTS", 1 << 16)
+    pick = random.Random(3)
+    rows = [(" ".join(f"word{pick.randrange(3000)}" for _ in range(1000)), "en") for _ in range(500)]
+    texts = spark.createDataFrame(rows, "text string, lang string")
+    slots = phrases.enough_slots(texts, 5)
+    assert 500_000 < slots <= phrases.MOST_SLOTS
+    assert phrases.enough_slots(texts.limit(0), 5) == 1 << 16
+    bits = phrases.frequent_slots(texts, 5, slots)
+    assert [int(b) < slots // 50 for b in np.unpackbits(bits, axis=1).sum(axis=1)] == [True] * len(phrases.ORDERS)
+    assert run(spark, rows[:40], least=3, top=50) == phrases_slow(rows[:40], 3, 50)
+
+
 def test_large_counts_are_exact(spark):
     sizes = spark.createDataFrame([("en", 9_000_000_000_000)], "lang string, n bigint")
     rows = [("en", "a b", 2, 700_000_000_007), ("en", "a", 1, 3_000_000_000_001), ("en", "b", 1, 4_999_999_999_999)]
