@@ -43,7 +43,7 @@ LONGEST = 5
 TOP = 2000
 UNKNOWN = "und"
 SLOTS = 1 << 22  # at least; with more words than they are made for, twice as many, and so on
-MOST_SLOTS = 1 << 26  # a byte of a task's memory for each order
+MOST_SLOTS = 1 << 25  # a byte of memory in a task for each order
 SHARE = 8  # of ``least``: occurrences a slot is made for
 WORD_BYTES = 8  # of text, a word and what parts it from the next
 ORDERS = (2, 3, 4, 5)  # lengths of phrases that are counted by hash first
